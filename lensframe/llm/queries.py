@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lensframe.llm import sentences
+from lensframe.llm import scans, sentences
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the scanned pages with a running header, a page number, a broken word or a misread character."""
+    return scans.defects(scans.learn(_table(spark, sf_dir, "scanned_docs")))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every scanned document, repaired and reflowed into paragraphs."""
+    return scans.paragraphs(scans.learn(_table(spark, sf_dir, "scanned_docs")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every document as code point positions."""
     return sentences.split_sentences(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p9_found": p9_found}
