@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lensframe.llm import scans, sentences
+from lensframe.llm import neighbours, scans, sentences
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.paragraphs(scans.learn(_table(spark, sf_dir, "scanned_docs")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of text chunks of which one is among the other's five most similar, with a cosine of 0.85 at least."""
+    return neighbours.similar_pairs(_table(spark, sf_dir, "embed_items"), "item_id", "vec", 64)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every document as code point positions."""
     return sentences.split_sentences(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p9_found": p9_found}
+QUERIES = {"p4_found": p4_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p9_found": p9_found}
