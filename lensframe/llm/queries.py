@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lensframe.llm import neighbours, scans, sentences
+from lensframe.llm import mixing, neighbours, packing, scans, sentences, tokens
+from lensframe.session import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +30,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(_table(spark, sf_dir, "embed_items"), "item_id", "vec", 64)
 
 
+def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return cut(tokens.with_tokens(_table(spark, sf_dir, "documents"), "text", keep=["doc_id", *keep]))
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of each capacity of pack_limits, with the fill of each container."""
+    sizes = _sizes(spark, sf_dir)
+    limits = _table(spark, sf_dir, "pack_limits").collect()  # a few named capacities
+    return reduce(DataFrame.unionByName, (packing.pack(sizes, "doc_id", "tokens", r["max_tokens"]).withColumn("limit_name", F.lit(r["limit_name"])) for r in limits))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mix with the target shares, and how often each is used."""
+    return mixing.mix(_sizes(spark, sf_dir, "source"), "doc_id", "source", "tokens", _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return mixing.shares(p8_mix(spark, sf_dir), "source", "tokens", _table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every document as code point positions."""
     return sentences.split_sentences(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p9_found": p9_found}
+QUERIES = {"p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p4_found": p4_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p9_found": p9_found}
