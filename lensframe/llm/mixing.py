@@ -60,6 +60,33 @@ def pivot(sizes: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> tup
     return out, held, p
 
 
+def by_classes(sizes: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int | None, float]:
+    """``pivot`` by classes of size, the large ones first: what rounding a class's last fraction adds or takes is made up for by the classes below.
+
+    So the fraction that is left belongs to a small record, however large others are. Expected values stay, but for what no share has room for.
+    """
+    out = np.zeros(len(sizes))
+    open_ = (share > 1e-12) & (share < 1 - 1e-12)
+    out[~open_] = np.round(share[~open_])
+    classes = np.where(open_, np.floor(np.log2(np.maximum(sizes, 1))), -1)
+    kinds = sorted(set(classes[open_].tolist()), reverse=True)
+    owed = float((sizes * share)[open_].sum())
+    for n, kind in enumerate(kinds):
+        rest = open_ & (classes <= kind) & (classes >= 0)
+        shift = (owed - float((sizes * share)[rest].sum())) / float(sizes[rest].sum())
+        at = np.flatnonzero(classes == kind)
+        at = at[rng.permutation(len(at))]
+        rounded, held, p = pivot(sizes[at], np.clip(share[at] + shift, 0, 1), rng)
+        if held is not None:
+            if n + 1 == len(kinds):
+                out[at] = rounded
+                return out, int(at[held]), p
+            rounded[held] = float(rng.random() < p)
+        out[at] = rounded
+        owed -= float((sizes[at] * rounded).sum())
+    return out, None, 0.0
+
+
 def budgets(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, float]:
     """Expected tokens of each source.
 
@@ -118,10 +145,7 @@ def mix(records: DataFrame, key: str, source: str, size: str, targets: DataFrame
             t = table.sort_by("key")
             bucket, src = t.column("bucket")[0].as_py(), t.column("source")[0].as_py()
             rng = np.random.default_rng([seed, depth, bucket, *src.encode()])
-            # large records meet first, so that the many small ones after them settle what is left of a large one; else the order is drawn
-            order = np.lexsort((rng.random(t.num_rows), -np.floor(np.log2(t.column("size").to_numpy()))))
-            t = t.take(pa.array(order))
-            rounded, held, p = pivot(t.column("size").to_numpy(), t.column("share").to_numpy(), rng)
+            rounded, held, p = by_classes(t.column("size").to_numpy(), t.column("share").to_numpy(), rng)
             extra = pa.array([None if i == held else int(x) for i, x in enumerate(rounded)], pa.int64())
             share = t.column("share").to_numpy().copy()
             if held is not None:
