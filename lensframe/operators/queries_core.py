@@ -73,3 +73,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_attributes": p1_attributes, "p1_texts": p1_texts, "p3_found": p3_found, "p3_schema": p3_schema, "p3_rows": p3_rows, "p5_found": p5_found, "p6_found": p6_found}
+
+_REFERENCES = """m AS (SELECT id, assetids, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT id, assetids, regexp_extract_all(assetids, '"(?:[^"]|"")*"|[0-9]+') AS t FROM (SELECT DISTINCT id, assetids FROM asset_events))),
+    e AS (SELECT id, assetids, i, CASE WHEN tok LIKE '"%' AND regexp_matches(regexp_replace(tok, '\\b(and|n/a|N/A|none|null|NULL)\\b', '', 'g'), '[A-Za-z]') THEN [trim(replace(substr(tok, 2, length(tok) - 2), '""', '"'))] ELSE regexp_extract_all(tok, '[0-9]+') END AS v FROM m),
+    r AS (SELECT id, assetids, i, unnest(v) AS asset_ref, generate_subscripts(v, 1) AS j FROM e)"""
+
+ORACLES = {
+    "p3_schema": """WITH c AS (SELECT DISTINCT uidlog, file_id, upper(trim(mnemonic)) AS mnemonic, lower(trim(typelogdata)) AS k, coalesce(curve_no, 0) AS no FROM log_curves WHERE trim(mnemonic) <> ''),
+    b AS (SELECT uidlog, mnemonic, bit_or(CASE k WHEN 'long' THEN 1 WHEN 'double' THEN 2 WHEN 'date time' THEN 4 WHEN 'string' THEN 8 END) AS bits, count(*) AS files FROM c GROUP BY ALL)
+    SELECT uidlog, mnemonic, CASE WHEN bits = 1 THEN 'long' WHEN bits IN (2, 3) THEN 'double' WHEN bits = 4 THEN 'date time' ELSE 'string' END AS kind, files FROM b""",
+    "p5_found": f"WITH {_REFERENCES} SELECT id AS event_id, CAST(row_number() OVER (PARTITION BY id, assetids ORDER BY i, j) AS INTEGER) AS pos, asset_ref FROM r",
+    "p6_found": f"""WITH {_REFERENCES}, s AS (SELECT DISTINCT asset_ref, starttime AS a, endtime AS b FROM asset_events JOIN r USING (id, assetids)
+        WHERE starttime > {EARLIEST_MS} AND starttime < {LATEST_MS} AND endtime > {EARLIEST_MS} AND endtime < {LATEST_MS} AND starttime < endtime),
+    h AS (SELECT *, max(b) OVER (PARTITION BY asset_ref ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY asset_ref ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM h),
+    p AS (SELECT asset_ref, n, min(a) AS a, max(b) AS b FROM g GROUP BY ALL), l AS (SELECT *, lead(a) OVER (PARTITION BY asset_ref ORDER BY a) AS nx FROM p)
+    SELECT asset_ref, 'period' AS kind, a AS from_ms, b AS to_ms FROM p UNION ALL SELECT asset_ref, 'gap', b, nx FROM l WHERE nx - b <= {LONGEST_GAP_MS}""",
+}
