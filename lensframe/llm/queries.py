@@ -57,3 +57,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p4_found": p4_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p9_found": p9_found}
+
+ORACLES = {
+    "p4_found": """WITH v AS (SELECT DISTINCT item_id, CAST(vec AS DOUBLE[]) AS e FROM embed_items WHERE len(vec) = 64 AND list_max(list_transform(vec, lambda x: abs(x))) > 0),
+    s AS (SELECT a.item_id AS i, b.item_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.item_id <> b.item_id),
+    t AS (SELECT i, j, c FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY c DESC, j) <= 5)
+    SELECT DISTINCT least(i, j) AS item_lo, greatest(i, j) AS item_hi FROM t WHERE c >= 0.85""",
+}
