@@ -79,6 +79,10 @@ _REFERENCES = """m AS (SELECT id, assetids, unnest(t) AS tok, generate_subscript
     r AS (SELECT id, assetids, i, unnest(v) AS asset_ref, generate_subscripts(v, 1) AS j FROM e)"""
 
 ORACLES = {
+    "p1_found": """WITH d AS (SELECT DISTINCT file_id, tree FROM xml_docs WHERE tree IS NOT NULL AND json_valid(tree)), t AS (SELECT file_id, CASE WHEN json_type(tree) = 'VARCHAR' THEN json_extract_string(tree, '$') ELSE tree END AS tree FROM d),
+    n AS (SELECT t.file_id, x.id, x.value, x.fullkey FROM t, json_tree(t.tree) AS x WHERE x.type = 'OBJECT' AND regexp_full_match(x.fullkey, '\\$(\\.children(\\[[0-9]+\\])?|\\.Elem)*') AND json_extract(x.value, '$.name') IS NOT NULL),
+    e AS (SELECT file_id, replace(fullkey, '.Elem', '') AS place, row_number() OVER (PARTITION BY file_id ORDER BY id) AS no, regexp_replace(json_extract_string(value, '$.name'), '^[^:]*:', '') AS name FROM n)
+    SELECT e.file_id, CAST(e.no AS INTEGER) AS elem_no, CAST(coalesce(p.no, 0) AS INTEGER) AS parent_no, e.name AS elem_name FROM e LEFT JOIN e p ON p.file_id = e.file_id AND e.place <> '$' AND p.place = regexp_replace(e.place, '\\.children(\\[[0-9]+\\])?$', '')""",
     "p3_schema": """WITH c AS (SELECT DISTINCT uidlog, file_id, upper(trim(mnemonic)) AS mnemonic, lower(trim(typelogdata)) AS k, coalesce(curve_no, 0) AS no FROM log_curves WHERE trim(mnemonic) <> ''),
     b AS (SELECT uidlog, mnemonic, bit_or(CASE k WHEN 'long' THEN 1 WHEN 'double' THEN 2 WHEN 'date time' THEN 4 WHEN 'string' THEN 8 END) AS bits, count(*) AS files FROM c GROUP BY ALL)
     SELECT uidlog, mnemonic, CASE WHEN bits = 1 THEN 'long' WHEN bits IN (2, 3) THEN 'double' WHEN bits = 4 THEN 'date time' ELSE 'string' END AS kind, files FROM b""",
