@@ -17,7 +17,7 @@ def asset_page(asset_id: int, assets: DataFrame, timeseries: DataFrame, events:
     out = {
         "asset": assets.where(F.col("id") == asset_id),
         "sensors": timeseries.where(F.col("assetid") == asset_id),
-        "events": events.where(F.array_contains(F.transform(F.split("assetids", ";"), F.trim), key)).orderBy(F.desc("starttime"), F.asc("id")).limit(most),
+        "events": events.where(F.array_contains(F.transform(F.split("assetids", ";"), lambda x: F.trim(x)), key)).orderBy(F.desc("starttime"), F.asc("id")).limit(most),
     }
     if documents is not None:
         out["documents"] = documents.where(F.array_contains("assetids", asset_id))
