@@ -117,12 +117,11 @@ def kanban(df: DataFrame, lane: str, arrival: str, title: str, lanes: int = LANE
 def donut(df: DataFrame, field: str, arrival: str | None = None, most: int = SLICES) -> DataFrame:
     """``label, n, pct``: the largest slices; beyond seven the rest is one slice."""
     c = counts(df, field, arrival)
-    ranked = c.withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "first_seen", "label")))  # a row per value
-    total = c.agg(F.sum("n").alias("total"), F.count("*").alias("values"))
-    slot = F.when(F.col("r") <= most, F.col("r")).otherwise(most + 1)
-    both = ranked.crossJoin(F.broadcast(total)).groupBy(slot.alias("slot"), "total", "values").agg(F.sum("n").alias("n"), F.min("label").alias("one"))
-    label = F.when(F.col("slot") > most, F.concat((F.col("values") - most).cast("string"), F.lit(" others"))).otherwise(F.col("one"))
-    return both.select(label.alias("label"), "n", half_up(F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
+    top = c.orderBy(F.desc("n"), "first_seen", "label").limit(most).select("label", "n")
+    total = c.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    shown = top.agg(F.sum("n").alias("shown"), F.count("*").alias("slices"))
+    rest = total.crossJoin(shown).where(F.col("kinds") > F.col("slices")).select(F.concat((F.col("kinds") - F.col("slices")).cast("string"), F.lit(" others")).alias("label"), (F.col("total") - F.col("shown")).alias("n"))
+    return top.unionByName(rest).crossJoin(F.broadcast(total)).select("label", "n", half_up(F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
 
 
 def scatter(df: DataFrame, x: str, y: str, order: str, points: int = POINTS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -26,12 +27,16 @@ class Graph:
     """Nodes in the order of their making, which is an order of their dependence.
 
     ``build`` gives the plan of a node over whole sources. ``submit`` takes a change of a source and maintains every state that
-    it touches; a node whose change nets to nothing stops the change there. States are written tables, so plans do not grow with the number of changes.
+    it touches; a node whose change nets to nothing stops the change there. Changes are written tables, and a state is its last written table
+    with the changes since, written again when they are ``COMPACT``: plans do not grow with the number of changes.
     """
 
+    COMPACT = 16
+
     def __init__(self) -> None:
         self.nodes: dict[str, Node] = {}
-        self.state: dict[str, DataFrame] = {}
+        self._base: dict[str, DataFrame] = {}
+        self._since: dict[str, list[DataFrame]] = {}
         self.log: list[dict[str, Any]] = []
         self.outbox: list[tuple[str, DataFrame, str]] = []
         self.revision = 0
@@ -40,7 +45,7 @@ class Graph:
     def source(self, name: str, empty: DataFrame, external: bool = False) -> str:
         """A source with its schema (``empty`` has no rows); an external one belongs to an adapter."""
         self.nodes[name] = Node(name, None, [], external)
-        self.state[name] = empty.limit(0).withColumn(zset.WEIGHT, F.lit(0).cast("bigint"))
+        self._start(name, empty.withColumn(zset.WEIGHT, F.lit(0).cast("bigint")))
         return name
 
     def apply(self, name: str, lens: Lens, *inputs: str) -> str:
@@ -50,7 +55,7 @@ class Graph:
         if missing:
             raise ValueError(f"no such node: {missing}")
         self.nodes[name] = Node(name, lens, list(inputs))
-        self.state[name] = lens.forward(*(self.state[i] for i in inputs))
+        self._start(name, lens.forward(*(self._base[i] for i in inputs)))
         return name
 
     def observe(self, name: str, fn) -> None:
@@ -80,20 +85,32 @@ class Graph:
         self.revision += 1
         self.log.append({"seq": len(self.log), "revision": self.revision, "stream": name, "author": author, "origin": origin, "note": note, "delta": delta})
         changed = {name: delta}
-        self.state[name] = cut(zset.plus(self.state[name], delta))
-        self._tell(name, delta)
+        self._grow(name, delta)
         for n in self.nodes.values():
             if n.lens is None or not any(i in changed for i in n.inputs):
                 continue
-            deltas = [changed[i] if i in changed else self.state[i].limit(0) for i in n.inputs]
-            out = cut(zset.consolidate(n.lens.delta(deltas, [self.state[i] for i in n.inputs])))
+            deltas = [changed[i] if i in changed else self._empty(i) for i in n.inputs]
+            out = cut(n.lens.delta(deltas, [self.state_of(i) for i in n.inputs]))  # lenses give consolidated changes
             if out.isEmpty():
                 continue
             changed[n.name] = out
-            self.state[n.name] = cut(zset.plus(self.state[n.name], out))
-            self._tell(n.name, out)
+            self._grow(n.name, out)
         return list(changed)
 
+    def _empty(self, name: str) -> DataFrame:
+        base = self._base[name]
+        return base.sparkSession.createDataFrame([], base.schema)
+
+    def _start(self, name: str, like: DataFrame) -> None:
+        self._base[name] = like.sparkSession.createDataFrame([], like.schema)
+        self._since[name] = []
+
+    def _grow(self, name: str, delta: DataFrame) -> None:
+        self._since[name].append(delta.select(*self._base[name].columns))
+        if len(self._since[name]) >= self.COMPACT:
+            self._base[name], self._since[name] = cut(self.state_of(name)), []
+        self._tell(name, delta)
+
     def _tell(self, name: str, delta: DataFrame) -> None:
         for fn in self.nodes[name].observers:
             fn(delta)
@@ -107,7 +124,7 @@ class Graph:
             else:
                 self.submit(name, edit, author=author, note=note)
             return
-        for i, part in zip(node.inputs, node.lens.backward(edit, [self.state[x] for x in node.inputs])):
+        for i, part in zip(node.inputs, node.lens.backward(edit, [self.state_of(x) for x in node.inputs])):
             part = zset.consolidate(part)
             if not part.isEmpty():
                 self.push_backward(i, part, author, note)
@@ -117,7 +134,10 @@ class Graph:
         return out
 
     def state_of(self, name: str) -> DataFrame:
-        return self.state[name]
+        """What a node holds now: the last written state with the changes since, consolidated once."""
+        if not self._since[name]:
+            return self._base[name]
+        return zset.consolidate(reduce(DataFrame.unionByName, self._since[name], self._base[name]))
 
     def blame(self, name: str) -> list[dict[str, Any]]:
         """The changes of a stream in order, with who made them."""

@@ -874,6 +874,59 @@ def shape_detect(spark: SparkSession, d: str) -> DataFrame:
     return detect.shape_report(table(spark, d, "asset_events"))
 
 
+@query(
+    """WITH d AS (SELECT DISTINCT type AS kind, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS source, subtype AS name FROM asset_events WHERE type IS NOT NULL AND description IS NOT NULL)
+    SELECT kind, source, coalesce(array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE name IS NOT NULL)), ', '), '') AS names FROM d GROUP BY ALL"""
+)
+def definition_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Texts by content: equal ones are one definition, under all its names."""
+    from lensframe.plans.catalog import definitions
+
+    rows = table(spark, d, "asset_events").where("type is not null and description is not null").select(F.col("type").alias("kind"), F.col("description").alias("source"), F.lit(None).cast("string").alias("deps"), F.col("subtype").alias("name"))
+    return definitions(rows).select("kind", "source", F.array_join("names", ", ").alias("names"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN abs(p_retailprice) >= 1000 OR p_retailprice = floor(p_retailprice) THEN format('{:,}', CAST(floor(p_retailprice + 0.5) AS BIGINT)) ELSE
+    regexp_replace(CAST(round(p_retailprice * pow(10, 3 - floor(log10(p_retailprice)))) / pow(10, 3 - floor(log10(p_retailprice))) AS VARCHAR), '\\.0$', '') END AS num, format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) AS whole FROM part"""
+)
+def scalar_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers as they are shown."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", scalars.fmt_num(F.col("p_retailprice")).alias("num"), scalars.fmt_int(F.col("p_retailprice")).alias("whole"))
+
+
+@query(
+    """SELECT DISTINCT id, CASE WHEN starttime > 946684800000 AND starttime < 4102444800000 THEN starttime END AS ms, CASE WHEN starttime IS NULL OR starttime = 0 THEN '' ELSE strftime(make_timestamp(starttime * 1000), '%Y-%m-%d') END AS day
+    FROM asset_events WHERE starttime IS NULL OR starttime BETWEEN 0 AND 4102444800000"""
+)
+def scalar_when(spark: SparkSession, d: str) -> DataFrame:
+    """Which numbers are times, and their dates."""
+    from pyspark.sql import types as T
+
+    e = table(spark, d, "asset_events").where("starttime is null or starttime between 0 and 4102444800000")
+    return e.select("id", F.unix_millis(scalars.as_when(F.col("starttime"), T.LongType())).alias("ms"), scalars.fmt_date(F.col("starttime")).alias("day")).distinct()
+
+
+@query("SELECT 'customer' AS source, 5 AS gaps WHERE (SELECT count(*) FROM customer) > 0 UNION ALL SELECT 'nation', 3 UNION ALL SELECT 'region', 2")
+def gap_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """Untitled columns per source, the most first."""
+    columns = spark.createDataFrame([(n, c) for n in ("customer", "nation", "region") for c in table(spark, d, n).columns], "source string, field string")
+    return profile.gap_backlog(columns, spark.createDataFrame([], "source string, field string, fact string, value string")).select("source", F.col("gaps").cast("int").alias("gaps"))
+
+
+@query(
+    """SELECT user_id, coalesce(e.n, 0) AS errors, o.n AS others FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1) o LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) e USING (user_id)"""
+)
+def event_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Derived counts beside the inputs that they come from."""
+    e = table(spark, d, "events")
+    per = lambda c: e.where(c).groupBy("user_id").agg(F.count("*").alias("n"))
+    raw = per("event_type = 'error'").select(F.col("user_id").alias("seq"), "n")
+    out = folds.lineage(raw, per("event_type <> 'error'").select(F.col("user_id").alias("input_seq"), F.col("n").alias("others")))
+    return out.select(F.col("input_seq").alias("user_id"), F.coalesce("input_n", F.lit(0)).alias("errors"), "others")
+
+
 @query(
     """SELECT doc_id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS canon, CASE WHEN uidwell IS NULL THEN NULL ELSE trim(regexp_replace(regexp_replace(regexp_replace(upper(uidwell), '^NO\\s+', ''), '\\s*/\\s*', '/', 'g'), '\\s+', ' ', 'g')) END AS well,
     left(sha256(CAST(octet_length(CAST(source AS BLOB)) AS VARCHAR) || ':' || source), 16) AS hash FROM documents"""
