@@ -143,41 +143,36 @@ def nearest(df: DataFrame, item: str, vec: str, dim: int, k: int = 5, least: flo
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float32())), b.column(2), lists_], names=placed_schema.names)
 
     placed = cut(reps.mapInArrow(place, placed_schema))
-    # blocks of a list: as many as keep each below the bound; the sizes are one row per list, at most lists_most
-    def blocks(assigned: DataFrame, name: str) -> DataFrame:
-        sizes = assigned.groupBy("list").count().select("list", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("parts"))
-        return (
-            assigned.join(F.broadcast(sizes), "list")
-            .withColumn("part", F.pmod(F.xxhash64("rep", F.lit(name)), F.col("parts")).cast("int"))
-            .groupBy("list", "part")
-            .agg(F.collect_list(F.struct("rep", "vec")).alias("rows"))
-            .select("list", F.col("part").alias(f"{name}_part"), F.col("rows.rep").alias(f"{name}_rep"), F.flatten("rows.vec").alias(f"{name}_vec"))
-        )
-
-    held = blocks(placed.select("rep", "vec", F.col("lists")[0].alias("list")), "c")
-    asking = blocks(placed.select("rep", "vec", F.explode("lists").alias("list")), "q")
+    # blocks of a list: as many as keep each below the bound, both of what it holds and of what asks it; a row per list, lists_most at most
+    holding, asking = placed.select("rep", "vec", F.col("lists")[0].alias("list")), placed.select("rep", "vec", F.explode("lists").alias("list"))
+    parts = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    held_n, ask_n = holding.groupBy("list").agg(F.count("*").alias("h")), asking.groupBy("list").agg(F.count("*").alias("a"))
+    sizes = F.broadcast(held_n.join(ask_n, "list").select("list", parts("h").alias("c_parts"), parts("a").alias("q_parts")))
+    own = lambda name: F.pmod(F.xxhash64("rep", F.lit(name)), F.col(f"{name}_parts")).cast("int").alias(f"{name}_part")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}_parts") - 1)).alias(f"{name}_part")
+    keys = ["list", "c_part", "q_part"]
+    held = holding.join(sizes, "list").select("list", own("c"), every("q"), F.col("rep").alias("c_rep"), F.col("vec").alias("c_vec")).groupBy(*keys)
+    asked = asking.join(sizes, "list").select("list", own("q"), every("c"), F.col("rep").alias("q_rep"), F.col("vec").alias("q_vec")).groupBy(*keys)
     pair_schema = T.StructType([T.StructField("q", reps.schema["rep"].dataType), T.StructField("c", reps.schema["rep"].dataType), T.StructField("cosine", T.DoubleType())])
     rot = spark.sparkContext.broadcast(rotation(dim))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                qid, cid = b.column("q_rep")[i].values, b.column("c_rep")[i].values
-                q = _units(b.column("q_vec")[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-                c = _units(b.column("c_vec")[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-                r, s = scan_block(q, c, k, least, rot.value)
-                cos = np.round(np.einsum("ij,ij->i", q[r], c[s]), 6)
-                # the best of this block: more than k only where the last ones are equal
-                order = np.lexsort((-cos, r))
-                r, s, cos = r[order], s[order], cos[order]
-                first = np.searchsorted(r, np.arange(len(q) + 1))
-                rank = np.arange(len(r)) - first[r]
-                at = np.minimum(first[r] + k, first[r + 1] - 1)
-                ok = ((rank <= k) | (cos >= cos[at])) & (cos >= least)
-                yield pa.RecordBatch.from_arrays([qid.take(pa.array(r[ok])), cid.take(pa.array(s[ok])), pa.array(cos[ok])], names=pair_schema.names)
-
-    work = asking.join(held, "list").repartition(F.col("list"), F.col("q_part"), F.col("c_part"))
-    pairs = work.select("q_rep", "q_vec", "c_rep", "c_vec").mapInArrow(scan, pair_schema)
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            none = [left.column("q_rep").slice(0, 0), right.column("c_rep").slice(0, 0), pa.array([], pa.float64())]
+            return pa.Table.from_arrays(none, names=pair_schema.names)
+        q, c = (_units(_matrix(t.combine_chunks(), dim)) for t in (left.column("q_vec"), right.column("c_vec")))
+        r, s = scan_block(q, c, k, least, rot.value)
+        cos = np.round(np.einsum("ij,ij->i", q[r], c[s]), 6)
+        # the best of this block: more than k + 1 only where the last ones are equal
+        order = np.lexsort((-cos, r))
+        r, s, cos = r[order], s[order], cos[order]
+        first = np.searchsorted(r, np.arange(len(q) + 1))
+        rank = np.arange(len(r)) - first[r]
+        at = np.minimum(first[r] + k, first[r + 1] - 1)
+        ok = ((rank <= k) | (cos >= cos[at])) & (cos >= least)
+        return pa.Table.from_arrays([left.column("q_rep").take(pa.array(r[ok])), right.column("c_rep").take(pa.array(s[ok])), pa.array(cos[ok])], names=pair_schema.names)
+
+    pairs = asked.cogroup(held).applyInArrow(scan, pair_schema)
     # representatives back to items: each stands for its k + 1 smallest items, all that can be among someone's k
     near = pairs.join(placed.select(F.col("rep").alias("c"), "items"), "c").select("q", "cosine", F.explode("items").alias("other"))
     best = W.partitionBy("q").orderBy(F.desc("cosine"), F.asc("other"))
