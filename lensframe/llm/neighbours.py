@@ -117,8 +117,8 @@ def nearest(df: DataFrame, item: str, vec: str, dim: int, k: int = 5, least: flo
         return spark.createDataFrame([], T.StructType([T.StructField("item", df.schema[item].dataType), T.StructField("other", df.schema[item].dataType), T.StructField("cosine", T.DoubleType())]))
     lists = int(max(1, min(lists_most, round(total**0.5))))
     # a fixed draw by hash: the same rows whatever the partitions
-    share = min(1.0, 1.2 * sample_most / total)
-    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vec").limit(sample_most).toPandas()
+    share = min(1.0, 0.97 * sample_most / total)
+    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("rep").select("vec").limit(sample_most).toPandas()
     sample = _units(np.array(drawn["vec"].tolist(), np.float64)) if len(drawn) else np.zeros((0, dim))
     if not len(sample):
         sample = _units(np.array([reps.first()["vec"]], np.float64))
