@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lensframe.session import cut
+
 DAY_MS = 86_400_000
 
 
@@ -40,7 +42,8 @@ def merge_intervals(
         .agg(F.lit(1).alias("one"))
         .select("entity", "chunk", F.unix_millis("w.start").alias("s"), F.unix_millis("w.end").alias("e"))
     )
-    return _stitch(local).select(F.col("entity").alias(entity), "from_ms", "to_ms", "next_ms")
+    # read by three passes below; its session windows and what they come from are computed once
+    return _stitch(cut(local)).select(F.col("entity").alias(entity), "from_ms", "to_ms", "next_ms")
 
 
 def _stitch(local: DataFrame) -> DataFrame:
