@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lensframe.session import cut
+
 #: The lattice. A type is a set of bits, a join of types is the union; each union has one promoted type.
 TYPE_BITS = {"long": 1, "double": 2, "date time": 4, "string": 8}
 #: Words that qualify a description without naming another curve.
@@ -218,25 +220,121 @@ def _compare(pairs: DataFrame) -> DataFrame:
 
 
 def union_schema(curves: DataFrame) -> DataFrame:
-    """``uidlog, mnemonic, kind, files``: the union of a series' headers, each column with the type that all its types promote to."""
+    """``uidlog, mnemonic, kind, files``: the names in a series' headers, each with the type that all its types promote to (by curve: ``steady_schema``)."""
     cols = headers(curves).select("uidlog", F.explode("cols").alias("c"))
     return cols.groupBy("uidlog", F.col("c.name").alias("mnemonic")).agg(promoted(F.bit_or(type_bits(F.col("c.kind")))).alias("kind"), F.count("*").alias("files"))
 
 
+#: Marks what tells apart several columns of one name in one header, and several curves that began under one name.
+_AGAIN = "#"
+
+
+def _told_apart(names: Iterable[str], taken: set[str]) -> list[str]:
+    """The names, each made unlike all others and those taken by a number."""
+    out = []
+    for name in names:
+        n, label = 1, name
+        while label in taken:
+            n += 1
+            label = f"{name}{_AGAIN}{n}"
+        taken.add(label)
+        out.append(label)
+    return out
+
+
+class _Curves:
+    """The curves of one series while its headers are read in order: each column goes on with a curve or begins one.
+
+    A column that is not in the header before goes on with the curve that was last seen under its name and is in no header since, if there is one.
+    """
+
+    def __init__(self, steady_uid: bool, meaning: dict[str, str]):
+        self.steady_uid, self.meaning = steady_uid, meaning
+        self.labels: set[str] = set()
+        self.by_uid: dict[str, str] = {}
+        self.last: list[tuple] = []
+        self.now: dict[str, str] = {}  # name in the last header -> curve
+        self.gone: dict[str, list[str]] = {}  # last name -> curves that ended, the latest last
+
+    def read(self, header: list[tuple]) -> list[str]:
+        """The curve of each column; columns as in ``match_columns``."""
+        if self.steady_uid:
+            fresh = [c for c in header if c[0] not in self.by_uid]
+            self.by_uid |= dict(zip((c[0] for c in fresh), _told_apart((c[1] for c in fresh), self.labels)))
+            return [self.by_uid[c[0]] for c in header]
+        header = [(c[0], n, *c[2:]) for c, n in zip(header, _told_apart((c[1] for c in header), set()))]
+        if header != self.last:
+            now: dict[str, str] = {}
+            born = []
+            for a, b in match_columns(self.last, header, False, self.meaning):
+                if b is None:
+                    self.gone.setdefault(a[1], []).append(self.now[a[1]])
+                elif a is None:
+                    born.append(b)
+                else:
+                    now[b[1]] = self.now[a[1]]
+            for c in born:
+                ended = self.gone.get(c[1])
+                now[c[1]] = ended.pop() if ended else _told_apart([c[1]], self.labels)[0]
+            self.last, self.now = header, now
+        return [self.now[c[1]] for c in header]
+
+
+def curve_columns(curves: DataFrame) -> DataFrame:
+    """``uidlog, file_id, cell_no, mnemonic, type, curve``: each column of each file with the curve it holds, the same in all files of a series.
+
+    ``curve`` is the name under which the curve began, with a number if another one of the series did so before. Columns are the same curve as in ``changes``;
+    besides, one that was away goes on under its name. A series is read in order by one task, which holds no more than its latest header and its curves.
+    """
+    files = headers(curves)
+    names = files.select("uidlog", F.explode("cols").alias("c")).select("uidlog", F.col("c.name").alias("name")).distinct()
+    meant = names.join(meanings(files), "name").groupBy("uidlog").agg(F.map_from_entries(F.collect_list(F.struct("name", "meaning"))).alias("meant"))
+    facts = series_facts(files).join(meant, "uidlog", "left")
+    rows = files.withColumn("rank", F.lit(1)).unionByName(facts.withColumn("rank", F.lit(0)), allowMissingColumns=True)
+    ordered = rows.repartition("uidlog").sortWithinPartitions("uidlog", "rank", F.asc_nulls_first("dtimcreation"), "file_id")
+    schema = T.StructType([files.schema["uidlog"], files.schema["file_id"], *(T.StructField(n, T.IntegerType() if n == "cell_no" else T.StringType()) for n in ("cell_no", "mnemonic", "type", "curve"))])
+    order = ("uid", "name", "description", "unit", "kind", "position")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = _Curves(False, {})
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if r["rank"] == 0:
+                    state = _Curves(r["steady_uid"], dict(r["meant"] or ()))
+                    continue
+                header = [tuple(c[k] for k in order) for c in r["cols"]]
+                out.extend((r["uidlog"], r["file_id"], c[5], c[1], c[4], curve) for c, curve in zip(header, state.read(header)))
+            if out:
+                kinds = [batch.schema.field("uidlog").type, batch.schema.field("file_id").type, pa.int32(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def steady_schema(columns: DataFrame) -> DataFrame:
+    """``uidlog, curve, mnemonics, kind, files`` of ``curve_columns``: one row per curve of a series, all names it has, the type that all its types promote to."""
+    return columns.groupBy("uidlog", "curve").agg(
+        F.array_sort(F.collect_set("mnemonic")).alias("mnemonics"), promoted(F.bit_or(type_bits(F.col("type")))).alias("kind"), F.countDistinct("file_id").alias("files")
+    )
+
+
 def unified_rows(curves: DataFrame, lines: DataFrame) -> DataFrame:
-    """The data lines of all files under the union schema: ``uidlog, file_id, line_no, mnemonic, kind, as_double, as_time, as_text``.
+    """The data lines of all files under the steady schema: ``uidlog, file_id, line_no, curve, mnemonic, kind, as_double, as_time, as_text``.
 
-    The values are cast to the column's promoted type: long and double fill ``as_double``, date time ``as_time``, and string ``as_text``. A reading marked as
-    absent, blank, or not of the type gives no value (a row with nulls). Cells beyond the header are left out. Repeated lines count once.
+    ``curve`` is the same in all files of a series, ``mnemonic`` is the file's name for it. The values are cast to the curve's promoted type: long and double fill
+    ``as_double``, date time ``as_time``, and string ``as_text``. A reading marked as absent, blank, or not of the type gives no value (a row with nulls). Cells
+    beyond the header are left out. Repeated lines count once.
     """
-    names = headers(curves).select("file_id", "uidlog", F.posexplode("cols").alias("at", "c")).select("file_id", "uidlog", F.col("c.position").alias("cell_no"), F.col("c.name").alias("mnemonic"))
+    columns = cut(curve_columns(curves))
+    names = columns.drop("type").join(steady_schema(columns).select("uidlog", "curve", "kind"), ["uidlog", "curve"])
     cells = lines.where(F.col("cells").isNotNull()).select("file_id", "line_no", "cells").dropDuplicates().select("file_id", "line_no", F.posexplode(F.split("cells", ",")).alias("p", "cell"))
-    joined = cells.withColumn("cell_no", F.col("p") + 1).join(names, ["file_id", "cell_no"]).join(union_schema(curves).select("uidlog", "mnemonic", "kind"), ["uidlog", "mnemonic"])
+    joined = cells.withColumn("cell_no", F.col("p") + 1).join(names, ["file_id", "cell_no"])
     bare = F.trim("cell")
     value = F.when(~F.lower(bare).isin(*ABSENT), bare)
     number = F.when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value).try_cast("double")
     return joined.select(
-        "uidlog", "file_id", "line_no", "mnemonic", "kind",
+        "uidlog", "file_id", "line_no", "curve", "mnemonic", "kind",
         F.when(F.col("kind").isin("long", "double"), number).alias("as_double"),
         F.when(F.col("kind") == "date time", F.try_to_timestamp(value)).alias("as_time"),
         F.when(F.col("kind") == "string", value).alias("as_text"),
@@ -244,6 +342,6 @@ def unified_rows(curves: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def wide(rows: DataFrame, columns: Iterable[tuple[str, str]]) -> DataFrame:
-    """``unified_rows`` with one typed column per (name, kind) of ``columns``, in their order: the steady table of one or several series."""
+    """``unified_rows`` with one typed column per (curve, kind) of ``columns``, in their order: the steady table of one or several series."""
     field = {"long": "cast(as_double as bigint)", "double": "as_double", "date time": "as_time", "string": "coalesce(as_text, cast(as_double as string), cast(as_time as string))"}
-    return rows.groupBy("uidlog", "file_id", "line_no").agg(*(F.max(F.when(F.col("mnemonic") == n, F.expr(field[k]))).alias(n.lower()) for n, k in columns))
+    return rows.groupBy("uidlog", "file_id", "line_no").agg(*(F.max(F.when(F.col("curve") == n, F.expr(field[k]))).alias(n.lower()) for n, k in columns))

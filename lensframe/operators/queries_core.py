@@ -44,12 +44,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of all headers of each log, with the type that every curve's types promote to."""
+    """The names in all headers of each log, with the type that every name's types promote to."""
     return drift.union_schema(table(spark, sf_dir, "log_curves"))
 
 
+def p3_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steady columns of each log: a row per curve, with all its names and the type that its types promote to."""
+    return drift.steady_schema(drift.curve_columns(table(spark, sf_dir, "log_curves")))
+
+
 def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All data lines of all files under the union schema of their log."""
+    """All data lines of all files under the steady columns of their log."""
     return drift.unified_rows(table(spark, sf_dir, "log_curves"), table(spark, sf_dir, "log_data"))
 
 
@@ -72,7 +77,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.periods_and_gaps(spans, "asset_ref", "starttime", "endtime", LONGEST_GAP_MS)
 
 
-QUERIES = {"p1_found": p1_found, "p1_attributes": p1_attributes, "p1_texts": p1_texts, "p3_found": p3_found, "p3_schema": p3_schema, "p3_rows": p3_rows, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_attributes": p1_attributes, "p1_texts": p1_texts, "p3_found": p3_found, "p3_schema": p3_schema, "p3_curves": p3_curves, "p3_rows": p3_rows, "p5_found": p5_found, "p6_found": p6_found}
 
 _REFERENCES = """m AS (SELECT id, assetids, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT id, assetids, regexp_extract_all(assetids, '"(?:[^"]|"")*"|[0-9]+') AS t FROM (SELECT DISTINCT id, assetids FROM asset_events))),
     e AS (SELECT id, assetids, i, CASE WHEN tok LIKE '"%' AND regexp_matches(regexp_replace(tok, '\\b(and|n/a|N/A|none|null|NULL)\\b', '', 'g'), '[A-Za-z]') THEN [trim(replace(substr(tok, 2, length(tok) - 2), '""', '"'))] ELSE regexp_extract_all(tok, '[0-9]+') END AS v FROM m),

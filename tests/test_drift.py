@@ -48,3 +48,25 @@ def test_lattice_and_unified_rows(spark):
     assert {(r.file_id, r.mnemonic, r.as_double, r.as_text) for r in out.collect()} == {(1, "MD", 5.0, None), (1, "T", None, "2020-01-01T00:00:00Z"), (1, "N", None, "a"), (2, "MD", None, None), (2, "T", None, "x")}
     w = drift.wide(out, [("MD", "double"), ("T", "string")])
     assert {(r.file_id, r.md, r.t) for r in w.collect()} == {(1, 5.0, "2020-01-01T00:00:00Z"), (2, None, "x")}
+
+
+def cells_by_curve(spark, data, lines):
+    out = drift.unified_rows(spark.createDataFrame(data, COLS), spark.createDataFrame(lines, "file_id bigint, line_no int, cells string"))
+    return {(r.curve, r.file_id): (r.mnemonic, r.kind, r.as_double) for r in out.collect()}
+
+
+def test_a_renamed_curve_stays_one_column(spark):
+    lines = [(1, 1, "1,2"), (2, 1, "3,4,5"), (3, 1, "6,7")]
+    steady = rows("L", 1, 0, [c("k1", "DEPT", k="long"), c("k2", "GR")]) + rows("L", 2, 1, [c("k2", "GR2"), c("k1", "MD"), c("k3", "GR")]) + rows("L", 3, 2, [c("k3", "GR"), c("k1", "DEPTH")])
+    assert cells_by_curve(spark, steady, lines) == {
+        ("DEPT", 1): ("DEPT", "double", 1.0), ("GR", 1): ("GR", "double", 2.0), ("GR", 2): ("GR2", "double", 3.0), ("DEPT", 2): ("MD", "double", 4.0),
+        ("GR#2", 2): ("GR", "double", 5.0), ("GR#2", 3): ("GR", "double", 6.0), ("DEPT", 3): ("DEPTH", "double", 7.0),
+    }
+    # uids count the places; TG is away in one file, MD is renamed
+    loose = rows("P", 1, 0, [c("c1", "MD", "measured depth", k="long"), c("c2", "TG", "total gas")]) + rows("P", 2, 1, [c("c1", "ROP", "rate of penetration"), c("c2", "DEPT", "measured depth"), c("c3", "X", "x")]) + rows("P", 3, 2, [c("c1", "TG", "total gas"), c("c2", "DEPT", "measured depth")])
+    assert cells_by_curve(spark, loose, lines) == {
+        ("MD", 1): ("MD", "double", 1.0), ("TG", 1): ("TG", "double", 2.0), ("ROP", 2): ("ROP", "double", 3.0), ("MD", 2): ("DEPT", "double", 4.0),
+        ("X", 2): ("X", "double", 5.0), ("TG", 3): ("TG", "double", 6.0), ("MD", 3): ("DEPT", "double", 7.0),
+    }
+    schema = drift.steady_schema(drift.curve_columns(spark.createDataFrame(steady, COLS))).collect()
+    assert {(r.curve, tuple(r.mnemonics), r.kind, r.files) for r in schema} == {("DEPT", ("DEPT", "DEPTH", "MD"), "double", 3), ("GR", ("GR", "GR2"), "double", 2), ("GR#2", ("GR",), "double", 2)}
