@@ -712,6 +712,16 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return semantic.cosine_topk(q, e, "embedding", "vec_id")
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 5) AS similarity FROM embeddings, q)
+    SELECT query, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) <= 6"""
+)
+def cosine_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors most like each of those whose id is divisible by 50."""
+    e = table(spark, d, "embeddings")
+    return semantic.cosine_topk_each(e.where("vec_id % 50 = 0"), e, "embedding", "vec_id")
+
+
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents, 700 bytes at most."""
