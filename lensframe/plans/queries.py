@@ -613,6 +613,22 @@ def view_tree_rollup(spark: SparkSession, d: str) -> DataFrame:
     return views.tree_rollup(nodes, own, ["sensors"])
 
 
+@query(
+    """WITH RECURSIVE n AS (SELECT DISTINCT id, parentid FROM assets), up(id, anc, dist) AS (SELECT DISTINCT id, id, 0 FROM n UNION ALL SELECT up.id, n.parentid, dist + 1 FROM up JOIN n ON n.id = up.anc WHERE n.parentid IS NOT NULL AND n.parentid <> n.id AND n.parentid IN (SELECT id FROM n) AND dist < 64),
+    so AS (SELECT assetid AS id, count(*) AS sensors FROM (SELECT DISTINCT * FROM timeseries) WHERE assetid IS NOT NULL GROUP BY 1),
+    r AS (SELECT DISTINCT id, trim(unnest(string_split(assetids, ';'))) AS ref FROM asset_events WHERE assetids IS NOT NULL), eo AS (SELECT TRY_CAST(ref AS BIGINT) AS id, count(*) AS events FROM r WHERE regexp_full_match(ref, '[0-9]+') GROUP BY 1),
+    dp AS (SELECT id, max(dist) AS depth FROM up GROUP BY 1),
+    su AS (SELECT anc AS id, sum(sensors) AS sensors, sum(events) AS events FROM (SELECT DISTINCT id, anc FROM up) u LEFT JOIN so USING (id) LEFT JOIN eo USING (id) GROUP BY 1)
+    SELECT id, depth, CAST(coalesce(sensors, 0) AS BIGINT) AS sensors, CAST(coalesce(events, 0) AS BIGINT) AS events FROM dp LEFT JOIN su USING (id)"""
+)
+def view_tree_rollup_events(spark: SparkSession, d: str) -> DataFrame:
+    """Depth and number of sensors and events below each asset; an event counts once for each asset that it names."""
+    nodes = table(spark, d, "assets").select("id", F.col("parentid").alias("parent")).distinct()
+    sensors = zset.support_of(table(spark, d, "timeseries")).where("assetid is not null").groupBy(F.col("assetid").alias("id")).agg(F.count("*").alias("sensors"))
+    events = entity.event_counts(_event_refs(spark, d).where(F.col("ref").rlike("^[0-9]+$"))).groupBy(F.col("ref").try_cast("bigint").alias("id")).agg(F.sum("events").alias("events"))
+    return views.tree_rollup(nodes, sensors.join(events, "id", "full"), ["sensors", "events"])
+
+
 @query("SELECT 'p_retailprice' AS curve, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part UNION ALL SELECT 'p_partkey', min(p_partkey), max(p_partkey) FROM part")
 def view_depth_log(spark: SparkSession, d: str) -> DataFrame:
     return views.depth_log(table(spark, d, "part").withColumnRenamed("p_size", "md"), "md", ["p_retailprice", "p_partkey"])[1]
