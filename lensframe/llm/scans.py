@@ -485,36 +485,30 @@ def _with_fold(counted: DataFrame) -> DataFrame:
 
 
 def _corrections(lexicon: DataFrame) -> DataFrame:
-    """``entry, choices``: rare words with up to three frequent ones of the same folded spelling, each with how many times as frequent it is.
+    """``entry, choices``: rare words with all frequent ones of the same folded spelling of which glyph edits make them, each with how many times as frequent it is.
 
-    A folded spelling has few words: what it holds is bounded by the glyph edits of one word.
+    A rare word meets every entry of its folded spelling that is frequent enough beside it, and the edits are checked for each.
     """
-    words = lexicon.where(~F.col("entry").startswith("#") & F.col("entry").rlike(r"[^\W\d_]"))
-    w = W.partitionBy("folded").orderBy(F.desc("every"), F.asc("entry"))
-    leaders = words.withColumn("rank", F.row_number().over(w)).where("rank <= 3").groupBy("folded").agg(F.collect_list(F.struct("entry", "sure", "every")).alias("leaders"))
-    joined = words.join(leaders, "folded").withColumn("leaders", _plausible_udf()(F.col("entry"), F.col("leaders")))
-    ratio = lambda x: x["every"] / F.col("every")
-    backed = lambda x: (F.col("sure") == 0) & (x["sure"] > 0)
-    good = F.filter("leaders", lambda x: (x["entry"] != F.col("entry")) & ((ratio(x) >= RATIO) & (F.col("sure") * RATIO <= x["sure"]) | (ratio(x) >= RATIO_BACKED) & backed(x)))
-    return joined.select("entry", F.transform(good, lambda x: F.struct(x["entry"].alias("word"), ratio(x).alias("ratio"))).alias("choices")).where(F.size("choices") > 0)
+    words = lexicon.where(~F.col("entry").startswith("#") & F.col("entry").rlike(r"[^\W\d_]")).select("entry", "sure", "every", "folded")
+    leaders = words.select("folded", *(F.col(c).alias(f"lead_{c}") for c in ("entry", "sure", "every"))).where(F.col("every") >= RATIO_BACKED)
+    ratio = F.col("lead_every") / F.col("every")
+    backed = (F.col("sure") == 0) & (F.col("lead_sure") > 0)
+    met = words.join(leaders, "folded").where((F.col("lead_entry") != F.col("entry")) & ((ratio >= RATIO) & (F.col("sure") * RATIO <= F.col("lead_sure")) | (ratio >= RATIO_BACKED) & backed))
+    good = met.where(_plausible_udf()("entry", "lead_entry"))
+    # the least of what is sorted comes first: the most frequent, ties by spelling
+    choice = F.struct((-F.col("lead_every")).alias("n"), F.col("lead_entry").alias("word"), ratio.alias("ratio"))
+    return good.groupBy("entry").agg(F.transform(F.array_sort(F.collect_list(choice)), lambda x: F.struct(x["word"], x["ratio"])).alias("choices"))
 
 
 def _plausible_udf():
-    """Of a word's leaders those of which glyph edits make it, few for its length."""
-
-    @F.pandas_udf("array<struct<entry:string,sure:bigint,every:bigint>>")
-    def plausible(entry, leaders):  # noqa: ANN001, ANN202
-        out = []
-        for e, ls in zip(entry, leaders):
-            keep = []
-            for x in ls:
-                n = edits(x["entry"], e)
-                if n is not None and 0 < n <= 1 + len(e) // 5:
-                    keep.append({"entry": x["entry"], "sure": int(x["sure"]), "every": int(x["every"])})
-            out.append(keep)
+    """Whether glyph edits make a word of another, few for its length."""
+
+    @F.pandas_udf("boolean")
+    def plausible(entry, lead):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(out)
+        found = ((e, edits(x, e)) for e, x in zip(entry, lead))
+        return pd.Series([n is not None and 0 < n <= 1 + len(e) // 5 for e, n in found], dtype=bool)
 
     return plausible
 

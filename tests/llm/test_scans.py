@@ -69,3 +69,12 @@ def test_glyphs_and_numbers():
     assert S.numeric_fix("3b30") == "##" and S.numeric_fix("l888.") == "##" and S.numeric_fix("3330") is None
     assert S.page_number("Page 3 of 7") == ("page", 3) and S.page_number("- l2 -") == ("b", 12) and S.page_number("xiv") == ("roman", 14) and S.page_number("the end") is None
     assert S.layer_pages(["a", None, "b", "c"], 1) == {1, 3} and S.layer_pages(["a"], None) == set()
+
+
+def test_every_word_of_a_folded_spelling_may_be_the_right_one(spark):
+    # all fold alike; glyph edits make '1ull' of 'lull' only, the least frequent of the words
+    counts = {"bill": 900, "hill": 800, "bib": 700, "lull": 600, "1ull": 2, "b1ll": 2}
+    assert len({S.fold(w) for w in counts}) == 1
+    lexicon = S._with_fold(spark.createDataFrame([(w, n if n > 2 else 0, n) for w, n in counts.items()], "entry string, sure bigint, every bigint"))
+    got = {r.entry: [(c.word, c.ratio) for c in r.choices] for r in S._corrections(lexicon).collect()}
+    assert got["1ull"] == [("lull", 300.0)] and ("bill", 450.0) in got["b1ll"] and not {"bill", "hill", "bib", "lull"} & set(got)
