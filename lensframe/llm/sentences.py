@@ -395,6 +395,29 @@ def _kind(text: str, a: int, b: int) -> str:
     return "prose"
 
 
+def _heading(text: str, a: int, b: int) -> bool:
+    return re.match(r"#{1,6}\s", text[a:b].lstrip()) is not None
+
+
+def _rules_begin(text: str, block: list[tuple[int, int]], kinds: list[str]) -> int:
+    """The first line after the first one from which on lines stand for themselves, or how many lines there are.
+
+    Wrapped prose may break before a number or a dash. So a line that looks like an item, entry or row is one only after a heading or a colon, as the first of
+    two of its kind, as a bullet that comes again or a 1 that a 2 follows, or as a bullet after the end of a sentence.
+    """
+    marks = [_MARKER.match(text, a, b).group().strip(" \t().") if kind == "list" else "" for (a, b), kind in zip(block, kinds)]
+    last = {m: i for i, m in enumerate(marks)}
+    for i in range(1, len(block)):
+        if kinds[i] == "prose":
+            continue
+        before = text[slice(*block[i - 1])].rstrip()
+        bullet = kinds[i] == "list" and not marks[i].isdigit()
+        again = kinds[i + 1 : i + 2] == [kinds[i]] or bullet and last[marks[i]] > i or marks[i] == "1" and last.get("2", 0) > i
+        if again or _heading(text, *block[i - 1]) or before[-1:] in (":", "：") or bullet and before[-1:] in TERMINATORS:
+            return i
+    return len(block)
+
+
 def spans(text: str | None) -> list[tuple[int, int]]:
     """Half-open code point ranges of the sentence units of ``text``, without outer white space, in order."""
     if text is None:
@@ -418,15 +441,14 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         kinds = [_kind(text, a, b) for a, b in block]
         ruled = kinds[0] != "prose" and (len(kinds) == 1 or kinds[1] != "prose" or kinds[0] == "list")
         if not ruled:
-            heading = block[0]
-            if len(block) > 1 and re.match(r"#{1,6}\s", text[heading[0] : heading[1]].lstrip()):
-                add(*heading)
-                prose(block[1][0], block[-1][1])
-            elif len(block) == 1 and re.match(r"#{1,6}\s", text[heading[0] : heading[1]].lstrip()):
+            n = _rules_begin(text, block, kinds)
+            heading, flow = block[0], block[:n]
+            if _heading(text, *heading):
                 add(*heading)
-            else:
-                prose(block[0][0], block[-1][1])
-            continue
+                flow = flow[1:]
+            if flow:
+                prose(flow[0][0], flow[-1][1])
+            block, kinds = block[n:], kinds[n:]
         # lines of their own; a line without a mark of its own continues the list item before it
         items: list[list] = []
         for (a, b), kind in zip(block, kinds):

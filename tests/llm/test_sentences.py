@@ -55,3 +55,16 @@ def test_rows(spark):
     out = split_sentences(df, "doc_id")
     assert out.where("doc_id < 4").count() == len(spans("a. B c.")) and out.where("doc_id = 4").count() == 40_000
     assert split_sentences(df.limit(0), "doc_id").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Actions:\n- Close it\n- Open it", ["Actions:", "- Close it", "- Open it"]), ("Plan\n1. Close it. Verify\nagain.\n2. Open", ["Plan", "1. Close it.", "Verify again.", "2. Open"]),
+        ("# Log\n05.45 WOW\n06:00 Circ. BU", ["# Log", "05.45 WOW", "06:00 Circ. BU"]), ("Rates of the\nday\na | 5.0 | ok\nb | 6.0 | ok", ["Rates of the day", "a | 5.0 | ok", "b | 6.0 | ok"]),
+        ("It was wrapped. See\n- Close it\nby hand.", ["It was wrapped.", "See - Close it by hand."]), ("Die Pumpe fiel am\n9. März aus. Die\nProbe kam.", ["Die Pumpe fiel am 9. März aus.", "Die Probe kam."]),
+        ("Note this.\n- Close it", ["Note this.", "- Close it"]),
+    ],
+)
+def test_lines_that_stand_for_themselves_after_prose(text, want):
+    assert units(text) == want
