@@ -134,14 +134,28 @@ def _first_part(text: str, start: int, dot: int, end: int) -> bool:
     return m is not None and f"{part}.{m.group(1).lower()}" in _several()
 
 
-def _closes_later(text: str, at: int, end: int, closer: str) -> bool:
-    """Whether an opened pair is closed before the block ends; else its opener is an ordinary sign."""
-    found = text.find(closer, at + 1, min(end, at + 2000))
-    return found >= 0
+class _Later:
+    """Where signs come next in a block that is read forwards; each sign's places are passed over once."""
+
+    def __init__(self, text: str, end: int):
+        self.text, self.end = text, end
+        self.next: dict[str, int] = {}
+
+    def find(self, sign: str, at: int) -> int:
+        """The first place of ``sign`` from ``at`` on in the block, -1 if there is none; ``at`` never goes down from call to call."""
+        known = self.next.get(sign, 0)
+        if known >= 0 and known < at or sign not in self.next:
+            known = self.next[sign] = self.text.find(sign, at, self.end)
+        return known
+
+    def closes(self, at: int, closer: str) -> bool:
+        """Whether a pair opened at ``at`` is closed before the block ends; else its opener is an ordinary sign."""
+        return self.find(closer, at + 1) >= 0
 
 
 def _prose(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
     """The units of ``text[begin:end]``, one block without blank lines, as half-open ranges with outer blanks."""
+    later = _Later(text, end)
     stack: list[tuple[str, int, bool]] = []  # (closer, where it was opened, whether it began the unit)
     unit = begin
     i = begin
@@ -158,16 +172,16 @@ def _prose(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
         if c == '"':
             opens = (at == begin or text[at - 1].isspace() or text[at - 1] in "([—–-/:：") or at == unit
             inch = at > begin and text[at - 1].isdigit()
-            if opens and not inch and i < end and not text[i].isspace() and _closes_later(text, at, end, '"'):
+            if opens and not inch and i < end and not text[i].isspace() and later.closes(at, '"'):
                 stack.append(('"', at, not text[unit:at].strip()))
             continue
         if c in PAIRS:
             closer = PAIRS[c]
-            if c == "“" and text.find("”", at, min(end, at + 2000)) < 0:
-                closer = "“" if text.find("“", i, min(end, at + 2000)) > 0 else ""
-            if c == "„" and text.find("“", i, end) < 0 <= text.find("”", i, end):
+            if c == "“" and later.find("”", i) < 0:
+                closer = "“" if later.find("“", i) >= 0 else ""
+            if c == "„" and later.find("“", i) < 0 <= later.find("”", i):
                 closer = "”"
-            if closer and _closes_later(text, at, end, closer):
+            if closer and later.closes(at, closer):
                 stack.append((closer, at, not text[unit:at].strip()))
             continue
         if c not in TERMINATORS:

@@ -68,3 +68,17 @@ def test_rows(spark):
 )
 def test_lines_that_stand_for_themselves_after_prose(text, want):
     assert units(text) == want
+
+
+@pytest.mark.parametrize("pair", ['""', "()", "“”", "““", "„“", "„”", "«»", "「」"])
+def test_a_quotation_of_any_length_is_one_unit(pair):
+    inner = "It stopped. " * 400 + "Go on."
+    assert units(f"He wrote {pair[0]}{inner}{pair[1]} in the note. Done.") == [f"He wrote {pair[0]}{inner}{pair[1]} in the note.", "Done."]
+
+
+def test_many_openers_without_closers_take_linear_time():
+    import time
+
+    began = time.time()
+    spans('a (b "c «d „e “f ' * 30_000)
+    assert time.time() - began < 20
