@@ -40,6 +40,12 @@ def search(q: str, sections: dict[str, tuple[DataFrame, str, list[str], int]]) -
     return found
 
 
+def with_totals(found: DataFrame) -> DataFrame:
+    """``section, key, in_section, total``: what ``search`` found, with how many rows its section and all sections have."""
+    counts = found.groupBy("section").agg(F.count("*").alias("in_section"))
+    return found.join(counts, "section").crossJoin(F.broadcast(counts.agg(F.sum("in_section").alias("total"))))
+
+
 def event_counts(event_refs: DataFrame) -> DataFrame:
     """``ref, events``: how many events name each asset."""
     return event_refs.groupBy("ref").agg(F.count("*").alias("events"))

@@ -702,6 +702,27 @@ def search_substring(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH f AS (SELECT * FROM (SELECT DISTINCT 'assets' AS section, CAST(id AS VARCHAR) AS key FROM assets WHERE lower(name) LIKE '%pump%' OR lower(description) LIKE '%pump%' ORDER BY key LIMIT 40)
+    UNION ALL SELECT * FROM (SELECT DISTINCT 'sensors', CAST(id AS VARCHAR) AS key FROM timeseries WHERE lower(externalid) LIKE '%pump%' OR lower(name) LIKE '%pump%' OR lower(description) LIKE '%pump%' ORDER BY key LIMIT 40)
+    UNION ALL SELECT * FROM (SELECT DISTINCT 'events', CAST(id AS VARCHAR) AS key FROM asset_events WHERE lower(description) LIKE '%pump%' OR lower(type) LIKE '%pump%' ORDER BY key LIMIT 30)
+    UNION ALL SELECT * FROM (SELECT DISTINCT 'documents', CAST(scan_id AS VARCHAR) AS key FROM scanned_docs WHERE lower(name) LIKE '%pump%' ORDER BY key LIMIT 40))
+    SELECT section, key, count(*) OVER (PARTITION BY section) AS in_section, count(*) OVER () AS total FROM f"""
+)
+def search_sections(spark: SparkSession, d: str) -> DataFrame:
+    """All four sections of the search, documents by name among them, with the number of each and of all."""
+    found = entity.search(
+        "Pump",
+        {
+            "assets": (table(spark, d, "assets"), "id", ["name", "description"], 40),
+            "sensors": (table(spark, d, "timeseries"), "id", ["externalid", "name", "description"], 40),
+            "events": (table(spark, d, "asset_events"), "id", ["description", "type"], 30),
+            "documents": (table(spark, d, "scanned_docs"), "scan_id", ["name"], 40),
+        },
+    )
+    return entity.with_totals(found)
+
+
 @query(f"WITH r AS ({_REFS}) SELECT ref, count(*) AS events FROM r WHERE ref <> '' AND ref NOT IN (SELECT CAST(assetid AS VARCHAR) FROM timeseries WHERE assetid IS NOT NULL) GROUP BY ref HAVING count(*) >= 2 ORDER BY events DESC, ref LIMIT 15")
 def watch_blind_spots(spark: SparkSession, d: str) -> DataFrame:
     sensors = table(spark, d, "timeseries").select(F.col("assetid").cast("string").alias("ref")).where("ref is not null")
