@@ -1,7 +1,8 @@
 """Noise in text from scanned pages: furniture, broken words, misread characters, and reflow into paragraphs.
 
-Skip-gram vectors and a lexicon are learned from all pages. A rare word is linked to frequent ones that differ by
-plausible glyph edits (they share a folded spelling), and corrected to the one that suits its context.
+Skip-gram vectors and a lexicon are learned from all pages. Every word, a rare one too, has the vector of the company it keeps: the mean of the
+skip-gram vectors around its occurrences. A rare word is linked to the frequent neighbours of its vector of which plausible glyph edits make it, and
+each occurrence is corrected to the linked word that suits its own context best.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lensframe.session import cut
+from lensframe.session import cut, written
 
 #: The strokes that glyphs are made of; what a scan takes for one another has the same strokes.
 STROKES = str.maketrans(
@@ -39,16 +41,29 @@ HYPHENS = "-‐‑¬­"
 PLAIN_HYPHENS = "-‐‑"
 OUTER = ".,;:?()[]{}«»\"“”„‘’'…"
 
-#: How many lines from a page's edge may be furniture, how often a pattern must be at edges to be furniture by itself
-#: (documents, and their share), and how much of it may be elsewhere.
-EDGE_LINES, FURNITURE_DOCS, FURNITURE_SHARE, FURNITURE_INNER = 3, 4, 0.01, 0.03
-#: A rare word is a misreading if the frequent one is so many times as frequent: by itself, and with a text layer or a context that says so.
-RATIO, RATIO_BACKED, CONTEXT_LEAST = 18.0, 4.0, 0.15
-#: Words of the vocabulary of the vectors make up this share of all words at least each, so it holds a million at most.
-VOCABULARY_SHARE, VECTOR_SIZE, CONTEXT_WINDOW = 1e-6, 24, 4
+#: How many lines from a page's edge count as its edge, how much of a furniture pattern may be elsewhere, and the chance at which any pattern of
+#: the corpus may be at edges by accident as often as it is.
+EDGE_LINES, FURNITURE_INNER, FURNITURE_CHANCE = 3, 0.03, 0.01
+#: Patterns of furniture that are handed to all tasks as a set; more of them are joined with the documents.
+FURNITURE_SHARED = 200_000
+#: A frequent word is so many times as frequent as its misreadings: without vectors, and at least.
+RATIO, RATIO_BACKED = 18.0, 4.0
+#: A neighbour is this much less like a word than the word's nearest at most. Evidence is the logarithm of the ratio, the likeness with a weight, and
+#: a share where a text layer has the frequent word only; as much as the ratio alone needs without vectors, and so much more where contexts tell, makes a link.
+NEAR_GAP, LIKENESS_WEIGHT, BACKED_WEIGHT, EVIDENCE_MORE = 0.7, 4.0, math.log(RATIO / RATIO_BACKED), 1.6
+#: Skip-gram vectors are trained for the most frequent words, so many at most; every other word has its vector by its contexts, as all have.
+VOCABULARY_MOST, VOCABULARY_LEAST, VECTOR_SIZE, CONTEXT_WINDOW = 100_000, 5, 24, 4
+#: The threshold of skip-gram training above which frequent words are thinned out, as published for it.
+THINNING = 1e-4
 
 _LINE_END = re.compile(r"\r\n|\n|\r")
 _GAP = re.compile(r"\s{2,}|\t+")
+_LETTERS = re.compile(r"[^\W\d_]{2}")
+#: A number or tag, alone and with the word before it that says what it is.
+_TAG = r"(?:\S*\d+[/-]\S*|\b\d+(?:\.\d+)*\b)"
+_TAGS, _LABEL = re.compile(_TAG), re.compile(rf"([^\W\d_]{{2,}})[.:]?\s*(?={_TAG})")
+_LETTERS_ALL, _WITH_DIGIT = re.compile(r"[^\W\d_]{2,}"), re.compile(r"\S*\d\S*")
+_WORD = re.compile(r"[\w@!|$€]*[^\W\d_][\w@!|$€]*")
 _ROMAN = re.compile(r"(?=[ivxlc])(?:c{0,3})(?:x?l{1,2}x{0,3}|l?x{0,4}|xc|xl)?(?:l?)(?:ix|iv|v?i{0,4})$", re.I)
 _PAGE = re.compile(
     r"""^(?:(?P<word>page|pag\.?|side|seite|sida|p\.|s\.|pp\.)\s*(?P<a>[\dOoIlSB|]{1,5})(?:\s*(?:of|av|von|/)\s*[\dOoIlSB|]{1,5})?
@@ -153,7 +168,12 @@ def _roman(s: str) -> int:
 
 def pattern(line: str) -> str:
     """The form of a furniture line: folded, with numbers masked and blanks single."""
-    return " ".join("#" if _numeric(w) else fold(w) for w in line.split())
+    return " ".join(map(_form, line.split()))
+
+
+@lru_cache(200_000)
+def _form(token: str) -> str:
+    return "#" if _numeric(token) else fold(token)
 
 
 @lru_cache(200_000)
@@ -163,34 +183,38 @@ def _numeric(token: str) -> bool:
     return digits > 0 and (digits > 1 or digits * 2 >= sum(c.isalnum() for c in token))
 
 
-def edge_patterns(pages: list[str | None]) -> Iterator[tuple[str, bool]]:
-    """The patterns of the short lines of a document with whether each is at a page's edge; segments of edge lines too."""
+def pattern_key(line: str) -> int:
+    """A number for the form of a line."""
+    return xxhash.xxh64_intdigest(pattern(line)) - 2**63
+
+
+def edge_patterns(pages: list[str | None]) -> tuple[set[int], set[int]]:
+    """The forms of a document's lines at the edges of its pages and of those within; segments of edge lines beside a page number too."""
+    edge: set[int] = set()
+    inner: set[int] = set()
     for page in pages:
         if not page:
             continue
         lines = [x for x in split_lines(page) if x.strip()]
         for i, line in enumerate(lines):
-            edge = min(i, len(lines) - 1 - i) < EDGE_LINES
-            if len(line.strip()) > 64 or not re.search(r"[^\W\d_]{2}", line):
+            if not _LETTERS.search(line):
                 continue
-            at_rim = min(i, len(lines) - 1 - i) < 2
-            yield pattern(line), edge
-            if at_rim:
-                segments = _GAP.split(line.strip())
-                if len(segments) > 1:
-                    for left, right in ((segments[0], segments[1:]), (segments[-1], segments[:-1])):
-                        if page_number(left):
-                            yield pattern("  ".join(right)), True
+            d = min(i, len(lines) - 1 - i)
+            (edge if d < EDGE_LINES else inner).add(pattern_key(line))
+            if d < EDGE_LINES:
+                edge.update(pattern_key(s) for s in _without_number(line)[1:])
+    return edge, inner
 
 
-def layout(pages: list[str | None], name: str | None, common: frozenset[str] | set[str]) -> list[tuple[int, int, str, bool, bool]]:
+def layout(pages: list[str | None], name: str | None, common: frozenset[int] | set[int]) -> list[tuple[int, int, str, bool, bool]]:
     """``(page_no, line_no, line, header, pageno)`` of the lines of a document that are not blank.
 
     Furniture is looked for from both edges of a page inwards, as long as lines are furniture: a line that repeats at the edge of another page,
-    that is furniture all over the corpus (``common`` patterns), or whose words are those of the document's name.
+    that is furniture all over the corpus (``common``: keys of patterns), or whose words, but for those that name a number, are those of the document's name.
     """
-    title = [fold(w) for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"[-_]\d.*", "", (name or "").rpartition(".")[0]) or "")]
-    named = set(title) | {fold("rev"), fold("well")}
+    named = [fold(w) for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"[-_]\d.*", "", (name or "").rpartition(".")[0]) or "")]
+    title, most_missing = set(named), len(named) // 4
+    whole_name = fold(re.sub(r"[\W_]", "", name or ""))
     docs: list[tuple[int, list[tuple[int, str]]]] = []
     repeats: Counter = Counter()
     for p, page in enumerate(pages, 1):
@@ -201,23 +225,32 @@ def layout(pages: list[str | None], name: str | None, common: frozenset[str] | s
             for where, d in (("top", i), ("end", len(lines) - 1 - i)):
                 if d < EDGE_LINES:
                     for s in _without_number(x):
-                        if re.search(r"[^\W\d_]{2}", s):
+                        if _LETTERS.search(s):
                             seen.add((where, _exact(s)))
         repeats.update(seen)
 
     def header(text: str, where: str) -> bool:
         t = text.strip()
-        if not t or len(t) > 80:
+        if not t:
             return False
-        words = re.findall(r"[^\W\d_]{2,}", re.sub(r"\S*\d\S*", " ", t))
-        if not words:
-            return bool(re.fullmatch(r"\d+/\d+-[A-Z]-\d+\s*[A-Z]?", t)) and where == "top"
-        if len(t) <= 48 and repeats[where, _exact(t)] >= max(2, 0.4 * len(docs)) and not re.search(r"[.,;]$", t) and len(docs) > 1 and not _goes_on(t):
+        if pattern_key(t) in common:
             return True
-        if pattern(t) in common:
+        words = _LETTERS_ALL.findall(_WITH_DIGIT.sub(" ", t))
+        if not words:
+            # a tag alone: that of the document
+            tag = fold(re.sub(r"[\W_]", "", t))
+            return where == "top" and len(tag) > 4 and any(c.isdigit() for c in t) and tag in whole_name
+        if t[-1] in ".,;":
+            return False
+        if repeats[where, _exact(t)] >= max(3 if _prose(words) else 2, 0.4 * len(docs)) and len(docs) > 1 and not _goes_on(t):
             return True
-        own = [fold(w) for w in re.findall(r"[\w@!|$€]*[^\W\d_][\w@!|$€]*", re.sub(r"\S*\d+[/-]\S*|\b\d+(?:\.\d+)*\b", " ", t)) if len(w) > 1]
-        return bool(title) and len(set(title) - set(own)) <= len(title) // 4 and all(w in named for w in own) and not re.search(r"[.,;)]$", t)
+        if not title or t[-1] == ")":
+            return False
+        own = {fold(w) for w in _WORD.findall(_TAGS.sub(" ", t)) if len(w) > 1}
+        if len(title - own) > most_missing:
+            return False
+        free = {fold(w) for w in _LABEL.findall(t)}
+        return all(w in title or w in free for w in own)
 
     # page numbers that go up with the pages
     candidates: list[tuple[int, int, str, int | None, str]] = []  # page, line, form, number, where
@@ -237,9 +270,7 @@ def layout(pages: list[str | None], name: str | None, common: frozenset[str] | s
         for where in ("top", "end"):
             order = lines if where == "top" else lines[::-1]
             numbered = False
-            for i, (k, x) in enumerate(order[: EDGE_LINES]):
-                if i and len(order) == i:
-                    break
+            for i, (k, x) in enumerate(order[:EDGE_LINES]):
                 is_header, is_number = False, False
                 if header(x, where) and not _numbers_whole(x):
                     is_header = True
@@ -278,9 +309,14 @@ def _goes_on(text: str) -> bool:
     return bool(re.search(r"[a-zæøåäöüß]{2}[.!?]\s+[A-ZÆØÅÄÖÜ«„\"]", text)) or text[:1].islower()
 
 
+def _prose(words: list[str]) -> bool:
+    """Whether words read as a piece of a sentence: several, and more than half in lower case."""
+    return len(words) > 4 and 2 * sum(w.islower() for w in words) > len(words)
+
+
 def _exact(text: str) -> str:
     """A line with its numbers but folded: the same line on another page, read otherwise."""
-    return " ".join(fold(w) for w in text.split())
+    return " ".join(map(fold, text.split()))
 
 
 def _without_number(line: str) -> list[str]:
@@ -325,8 +361,6 @@ def _counts(found: tuple[str, int | None], page: int, where: str, offsets: Count
     return True
 
 
-def _words(line: str) -> list[str]:
-    return line.split()
 
 
 def _ends_broken(line: str) -> tuple[str, str] | None:
@@ -342,30 +376,33 @@ def text_lines(rows: list[tuple[int, int, str, bool, bool]]) -> list[tuple[int,
     return [(p, k, x) for p, k, x, h, n in rows if not h and not n]
 
 
-def lexicon_counts(lines: list[tuple[int, int, str]], layer: set[int]) -> tuple[Counter, Counter]:
-    """Counts of lexicon entries over whole tokens: on pages with a text layer, and on all. Parts of broken words are left out."""
-    sure: Counter = Counter()
-    every: Counter = Counter()
+def lexicon_counts(lines: list[tuple[int, int, str]], layer: set[int]) -> tuple[Counter, Counter, list[str]]:
+    """Counts of lexicon entries over whole tokens, on pages with a text layer and on all, and the entries of all tokens in order. Parts of broken words do not count."""
+    sure: list[str] = []
+    every: list[str] = []
+    whole: list[str] = []
     broken = False
     for p, _, line in lines:
-        tokens = _words(line)
+        keys = list(map(key_of, line.split()))
+        whole += keys
         ends = _ends_broken(line) is not None
-        use = tokens[1 if broken else 0 : len(tokens) - 1 if ends else len(tokens)]
-        for t in use:
-            k = key_of(t)
-            if k and k != "#":
-                every[k] += 1
-                if p in layer:
-                    sure[k] += 1
-                if "-" in k and not k.startswith("#"):
-                    # the parts of compounds count as words as well
-                    for part in k.split("-"):
-                        if len(part) > 1:
-                            every[part] += 1
-                            if p in layer:
-                                sure[part] += 1
+        use = keys[1 if broken else 0 : len(keys) - 1 if ends else len(keys)]
+        every += use
+        if p in layer:
+            sure += use
         broken = ends
-    return sure, every
+    return _with_parts(Counter(sure)), _with_parts(Counter(every)), [k for k in whole if k]
+
+
+def _with_parts(counts: Counter) -> Counter:
+    """Counts without what is no entry; the parts of compounds count as words as well."""
+    for k in ("", "#"):
+        counts.pop(k, None)
+    for k, n in [(k, n) for k, n in counts.items() if "-" in k and not k.startswith("#")]:
+        for part in k.split("-"):
+            if len(part) > 1:
+                counts[part] += n
+    return counts
 
 
 def layer_pages(pages: list[str | None], ocr_pages: int | None) -> set[int]:
@@ -380,124 +417,194 @@ def layer_pages(pages: list[str | None], ocr_pages: int | None) -> set[int]:
 
 
 def _documents(df: DataFrame) -> DataFrame:
-    return df.where(F.col("pages").isNotNull() & (F.size("pages") > 0)).select("scan_id", "name", "pages", "ocr_pages").dropDuplicates()
+    docs = df.where(F.col("pages").isNotNull() & (F.size("pages") > 0)).select("scan_id", "name", "pages", "ocr_pages").dropDuplicates()
+    return docs.withColumn("doc_no", F.xxhash64("name", "pages", "ocr_pages"))
+
+
+def _batches(rows: Iterator[tuple], schema: T.StructType, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches that go out as they fill."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], names=schema.names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], names=schema.names)
 
 
 def _map(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
-    """``fn`` gives the rows of each document; batches of rows go out as they fill."""
-    names = schema.names
+    """``fn`` gives the rows of each document."""
+    return _stream(df, lambda docs: (row for r in docs for row in fn(r)), schema)
+
+
+def _stream(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
+    """``fn`` gives the rows of a task's documents, which come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
-        for batch in batches:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            kinds = kinds or to_arrow_schema(schema)
-            rows: list[tuple] = []
-            for r in batch.to_pylist():
-                rows.extend(fn(r))
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], names=names)
+        documents = (r for b in batches for a in range(0, b.num_rows, 256) for r in b.slice(a, 256).to_pylist())
+        yield from _batches(fn(documents), schema)
 
     return df.mapInArrow(run, schema)
 
 
-_PATTERNS = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("edge", T.LongType()), T.StructField("inner", T.LongType()), T.StructField("docs", T.LongType())])
+_PATTERNS = T.StructType([T.StructField("pattern", T.LongType()), T.StructField("edge", T.LongType()), T.StructField("inner", T.LongType())])
+_LINE = T.StructType([T.StructField("page_no", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("header", T.BooleanType()), T.StructField("pageno", T.BooleanType())])
+_COUNT = T.StructType([T.StructField("entry", T.StringType()), T.StructField("sure", T.LongType()), T.StructField("every", T.LongType())])
 _LINES = T.StructType(
     [
         T.StructField("scan_id", T.LongType()),
         T.StructField("doc_no", T.LongType()),
-        T.StructField("lines", T.ArrayType(T.StructType([T.StructField("page_no", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("header", T.BooleanType()), T.StructField("pageno", T.BooleanType())]))),
-        T.StructField("layer", T.ArrayType(T.IntegerType())),
+        T.StructField("lines", T.ArrayType(_LINE)),
+        T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("counts", T.ArrayType(_COUNT)),
     ]
 )
-_COUNTS = T.StructType([T.StructField("entry", T.StringType()), T.StructField("sure", T.LongType()), T.StructField("every", T.LongType())])
-_SUSPECTS = T.StructType(
+_READ = T.StructType(
     [
         T.StructField("scan_id", T.LongType()), T.StructField("doc_no", T.LongType()), T.StructField("page_no", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("token_no", T.IntegerType()),
         T.StructField("token", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("entry", T.StringType()), T.StructField("other", T.StringType()), T.StructField("cut_at", T.IntegerType()),
-        T.StructField("next_page", T.IntegerType()), T.StructField("next_line", T.IntegerType()), T.StructField("sign", T.StringType()), T.StructField("context", T.ArrayType(T.StringType())),
+        T.StructField("next_page", T.IntegerType()), T.StructField("next_line", T.IntegerType()), T.StructField("sign", T.StringType()), T.StructField("parts_known", T.BooleanType()), T.StructField("n", T.LongType()),
+        T.StructField("around", T.ArrayType(T.FloatType())),
     ]
 )
 
 
 class ScanModel:
-    """What is learned from all pages: furniture patterns, a lexicon, corrections and word vectors. ``lines`` are the pages laid out."""
+    """What is learned from all pages: the pages laid out (``lines``), a lexicon, the words that rare ones stand for (``corrections``), skip-gram vectors
+    (words and a matrix), the vectors of the surroundings of frequent words (``frequent``), and what is to decide (``suspects``)."""
 
-    def __init__(self, lines: DataFrame, lexicon: DataFrame, corrections: DataFrame, vectors: DataFrame):
-        self.lines, self.lexicon, self.corrections, self.vectors = lines, lexicon, corrections, vectors
+    def __init__(self, lines: DataFrame, lexicon: DataFrame, corrections: DataFrame, vectors: tuple[list[str], np.ndarray], frequent: np.ndarray, suspects: DataFrame):
+        self.lines, self.lexicon, self.corrections, self.vectors, self.frequent, self.suspects = lines, lexicon, corrections, vectors, frequent, suspects
 
 
 def furniture_patterns(docs: DataFrame) -> DataFrame:
-    """Patterns of lines that are at page edges in many documents and hardly anywhere else."""
+    """``pattern``: keys of the forms of lines that are at page edges in more documents than chance explains, and hardly anywhere else.
 
-    def rows(r: dict) -> Iterator[tuple]:
-        edge: Counter = Counter()
-        inner: Counter = Counter()
-        for p, e in edge_patterns(r["pages"]):
-            (edge if e else inner)[p] += 1
-        for p in edge.keys() | inner.keys():
-            yield p, edge[p], inner[p], int(p in edge)
+    A form that documents place anywhere is at an edge with the share that edges have of all forms. Furniture is what would be there so often with
+    less than ``FURNITURE_CHANCE`` for all forms of the corpus together: the number of documents it takes grows with the logarithm of the corpus only.
+    """
 
-    counted = _map(docs.select("pages"), rows, _PATTERNS).groupBy("pattern").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner"), F.sum("docs").alias("docs"))
-    return counted.where((F.col("docs") >= FURNITURE_DOCS) & (F.col("inner") <= FURNITURE_INNER * F.col("edge"))).select("pattern", "docs")
+    def rows(documents: Iterator[dict]) -> Iterator[tuple]:
+        counts: dict[int, list[int]] = {}
+        for r in documents:
+            for side, keys in enumerate(edge_patterns(r["pages"])):
+                for p in keys:
+                    counts.setdefault(p, [0, 0])[side] += 1
+            if len(counts) > 500_000:
+                yield from ((p, e, i) for p, (e, i) in counts.items())
+                counts = {}
+        yield from ((p, e, i) for p, (e, i) in counts.items())
+
+    counted = cut(_stream(docs.select("pages"), rows, _PATTERNS).groupBy("pattern").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner")))
+    all_ = counted.agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner"), F.count("*").alias("n")).first()
+    if not all_["n"] or not all_["edge"]:
+        return counted.select("pattern").limit(0)
+    share = min(0.9, all_["edge"] / (all_["edge"] + all_["inner"]))
+    # the chance of e or more edges among e + i places is at most that of e edges times a constant near 1, as i is a small part of e
+    e, i = F.col("edge").cast("double"), F.col("inner").cast("double")
+    choose_ = _log_factorial(e + i) - _log_factorial(e) - _log_factorial(i)
+    chance = choose_ + e * math.log(share) + i * math.log(1 - share)
+    return counted.where((F.col("inner") <= FURNITURE_INNER * F.col("edge")) & (F.col("edge") > 1) & (chance < math.log(FURNITURE_CHANCE / all_["n"]))).select("pattern")
+
+
+def _log_factorial(n: Column) -> Column:
+    """The logarithm of n!, by Stirling's series."""
+    m = n + 1
+    return (m - 0.5) * F.log(m) - m + 0.5 * math.log(2 * math.pi) + 1 / (12 * m)
 
 
 def learn(df: DataFrame) -> ScanModel:
     """Learns from all documents of ``df`` (scan_id, name, pages, ocr_pages); exact duplicate rows count once."""
-    docs = _documents(df)
-    # a pattern needs a share of the documents, so the list is bounded: each has few lines at edges
-    total = docs.count()
-    least = max(FURNITURE_DOCS, math.ceil(total * FURNITURE_SHARE))
-    common = frozenset(r[0] for r in furniture_patterns(docs).where(F.col("docs") >= least).collect())
-    shared = df.sparkSession.sparkContext.broadcast(common)
-
-    def lay(r: dict) -> Iterator[tuple]:
-        rows = layout(r["pages"], r["name"], shared.value)
-        yield r["scan_id"], r["doc_no"], [dict(page_no=p, line_no=k, text=x, header=h, pageno=n) for p, k, x, h, n in rows], sorted(layer_pages(r["pages"], r["ocr_pages"]))
-
-    keyed = docs.withColumn("doc_no", F.xxhash64("name", "pages", "ocr_pages"))
-    lines = cut(_map(keyed, lay, _LINES))
-
-    def count(r: dict) -> Iterator[tuple]:
-        own = [(x["page_no"], x["line_no"], x["text"]) for x in r["lines"] if not (x["header"] or x["pageno"])]
-        sure, every = lexicon_counts(own, set(r["layer"]))
-        for k, n in every.items():
-            yield k, sure[k], n
-
-    counted = _map(lines.select("lines", "layer"), count, _COUNTS).groupBy("entry").agg(F.sum("sure").alias("sure"), F.sum("every").alias("every"))
+    docs = written(_documents(df))
+    lines_and_counts = _laid_out(docs, furniture_patterns(docs))
+    lines = lines_and_counts.where("lines is not null").select("scan_id", "doc_no", "lines", "words")
+    counted = lines_and_counts.where("counts is not null").select(F.explode("counts").alias("c")).groupBy("c.entry").agg(F.sum("c.sure").alias("sure"), F.sum("c.every").alias("every"))
     lexicon = cut(_with_fold(counted))
     vectors = _vectors(lines, lexicon)
-    return ScanModel(lines, lexicon, _corrections(lexicon), vectors)
+    links = cut(_links(lexicon))
+    read = written(_read(lines, links, vectors))
+    likeness, frequent = _likeness(links, read, vectors)
+    return ScanModel(lines.drop("words"), lexicon, _corrections(lexicon, likeness), vectors, frequent, read.where("kind <> 'context'"))
+
+
+def _laid_out(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Rows of the documents with their lines and the lexicon's entries of their text, in order; and rows with counts of entries over many documents."""
+    spark = docs.sparkSession
+    patterns = cut(patterns)
+    if patterns.count() <= FURNITURE_SHARED:
+        shared = spark.sparkContext.broadcast(frozenset(r[0] for r in patterns.collect()))
+        keyed = docs.withColumn("common", F.array().cast("array<bigint>"))
+    else:
+        # each document with those of its own forms that are furniture
+        shared = spark.sparkContext.broadcast(frozenset())
+        edges = T.StructType([T.StructField("doc_no", T.LongType()), T.StructField("pattern", T.LongType())])
+        own = _map(docs.select("doc_no", "pages"), lambda r: ((r["doc_no"], p) for p in edge_patterns(r["pages"])[0]), edges)
+        keyed = docs.join(own.join(patterns, "pattern", "left_semi").groupBy("doc_no").agg(F.collect_set("pattern").alias("common")), "doc_no", "left")
+
+    def rows(documents: Iterator[dict]) -> Iterator[tuple]:
+        sure: Counter = Counter()
+        every: Counter = Counter()
+        for r in documents:
+            laid = layout(r["pages"], r["name"], shared.value.union(r["common"]) if r["common"] else shared.value)
+            own = text_lines(laid)
+            a, b, words = lexicon_counts(own, layer_pages(r["pages"], r["ocr_pages"]))
+            sure.update(a)
+            every.update(b)
+            yield r["scan_id"], r["doc_no"], [dict(page_no=p, line_no=k, text=x, header=h, pageno=n) for p, k, x, h, n in laid], words, None
+            if len(every) > 200_000:
+                yield None, None, None, None, [dict(entry=k, sure=sure[k], every=n) for k, n in every.items()]
+                sure.clear()
+                every.clear()
+        if every:
+            yield None, None, None, None, [dict(entry=k, sure=sure[k], every=n) for k, n in every.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = (r for b in batches for a in range(0, b.num_rows, 256) for r in b.slice(a, 256).to_pylist())
+        yield from _batches(rows(documents), _LINES, 256)
+
+    return written(keyed.mapInArrow(run, _LINES))
 
 
 def _with_fold(counted: DataFrame) -> DataFrame:
-    schema = T.StructType([*_COUNTS.fields, T.StructField("folded", T.StringType())])
+    schema = T.StructType([*_COUNT.fields, T.StructField("folded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fold(x) if not x.startswith("#") else x for x in b.column(0).to_pylist()], pa.string())], names=schema.names)
 
-    return counted.select(*_COUNTS.names).mapInArrow(run, schema)
+    return counted.select(*_COUNT.names).mapInArrow(run, schema)
 
 
-def _corrections(lexicon: DataFrame) -> DataFrame:
-    """``entry, choices``: rare words with all frequent ones of the same folded spelling of which glyph edits make them, each with how many times as frequent it is.
+def _links(lexicon: DataFrame) -> DataFrame:
+    """``entry, word, ratio, backed, strong``: rare words with each frequent one of which plausible glyph edits make them.
 
-    A rare word meets every entry of its folded spelling that is frequent enough beside it, and the edits are checked for each.
+    A rare word meets every entry of its folded spelling that is frequent enough beside it, and the edits are checked for each. ``backed``: only the
+    frequent one is on pages with a text layer. ``strong``: the frequencies alone speak for it.
     """
     words = lexicon.where(~F.col("entry").startswith("#") & F.col("entry").rlike(r"[^\W\d_]")).select("entry", "sure", "every", "folded")
     leaders = words.select("folded", *(F.col(c).alias(f"lead_{c}") for c in ("entry", "sure", "every"))).where(F.col("every") >= RATIO_BACKED)
     ratio = F.col("lead_every") / F.col("every")
     backed = (F.col("sure") == 0) & (F.col("lead_sure") > 0)
-    met = words.join(leaders, "folded").where((F.col("lead_entry") != F.col("entry")) & ((ratio >= RATIO) & (F.col("sure") * RATIO <= F.col("lead_sure")) | (ratio >= RATIO_BACKED) & backed))
+    real = F.col("sure") * RATIO > F.col("lead_sure")
+    met = words.join(leaders, "folded").where((F.col("lead_entry") != F.col("entry")) & (ratio >= RATIO_BACKED) & ~real)
     good = met.where(_plausible_udf()("entry", "lead_entry"))
+    return good.select("entry", F.col("lead_entry").alias("word"), F.col("lead_every").alias("word_n"), ratio.alias("ratio"), backed.alias("backed"), ((ratio >= RATIO) | backed).alias("strong"))
+
+
+def _corrections(lexicon: DataFrame, likeness: DataFrame | None = None) -> DataFrame:
+    """``entry, choices``: rare words with the frequent ones that they may stand for, the most frequent first, each with how many times as frequent it is.
+
+    With ``likeness`` (``_likeness``) they have what ``choose`` weighs at each occurrence; without it frequencies alone tell.
+    """
+    fields = ["word", "ratio"] if likeness is None else ["word", "ratio", "backed", "like", "gap", "tell", "vector"]
+    found = _links(lexicon).where("strong") if likeness is None else likeness
     # the least of what is sorted comes first: the most frequent, ties by spelling
-    choice = F.struct((-F.col("lead_every")).alias("n"), F.col("lead_entry").alias("word"), ratio.alias("ratio"))
-    return good.groupBy("entry").agg(F.transform(F.array_sort(F.collect_list(choice)), lambda x: F.struct(x["word"], x["ratio"])).alias("choices"))
+    choice = F.struct((-F.col("word_n")).alias("n"), *fields)
+    return found.groupBy("entry").agg(F.transform(F.array_sort(F.collect_list(choice)), lambda x: F.struct(*(x[f] for f in fields))).alias("choices"))
 
 
 def _plausible_udf():
@@ -513,98 +620,199 @@ def _plausible_udf():
     return plausible
 
 
-def _vectors(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Skip-gram vectors of the frequent words of the text: ``word, vector``."""
+def _vectors(lines: DataFrame, lexicon: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Skip-gram vectors of the most frequent words of the text: the words, and a matrix without what all vectors share.
+
+    Frequent words are thinned out in training as published for it (each occurrence stays with the root of THINNING over the word's share); which
+    occurrences go depends on document and place only, so every run sees the same.
+    """
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
-    total = lexicon.agg(F.sum("every")).first()[0] or 0
-    least = max(5, math.ceil(total * VOCABULARY_SHARE))
+    usual = lexicon.where(F.col("every") >= VOCABULARY_LEAST)
+    n = usual.count()
+    none = ([], np.zeros((0, VECTOR_SIZE), np.float32))
+    if not n:
+        return none
+    least = VOCABULARY_LEAST
+    if n > VOCABULARY_MOST:
+        least = usual.select("every").orderBy(F.desc("every")).offset(VOCABULARY_MOST).first()[0] + 1
+    known = usual.where(F.col("every") >= least).select("entry", "every").toPandas()  # VOCABULARY_MOST rows at most
+    total = lexicon.agg(F.sum("every")).first()[0]
+    share = dict(zip(known["entry"], known["every"] / total))
+    stays = lines.sparkSession.sparkContext.broadcast(share)
     schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
 
-    def words(r: dict) -> Iterator[tuple]:
-        own: list[str] = []
-        for x in r["lines"]:
-            if not (x["header"] or x["pageno"]):
-                own.extend(k for k in map(key_of, x["text"].split()) if k)
-            if len(own) > 400:
-                yield (own,)
-                own = []
-        if own:
-            yield (own,)
-
-    sentences = _map(lines.select("lines"), words, schema)
-    if lexicon.where(F.col("every") >= least).isEmpty():
-        return lines.sparkSession.createDataFrame([], "word string, vector array<float>")
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(1)
+            flat = words.flatten().dictionary_encode()
+            part = np.array([stays.value.get(w, 0.0) for w in flat.dictionary.to_pylist()] or [0.0])
+            keep = np.where(part > 0, np.sqrt(THINNING / np.maximum(part, THINNING)), 0.0)
+            sizes = np.diff(words.offsets.to_numpy())
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            seed = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes)
+            drawn = (seed + np.arange(len(flat), dtype=np.uint64) - first.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            drawn = ((drawn ^ (drawn >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(11)
+            codes = flat.indices.to_numpy(zero_copy_only=False)
+            stay = (drawn.astype(np.float64) / 2.0**53 < keep[codes]) if len(codes) else np.zeros(0, bool)
+            ends = np.concatenate(([0], np.cumsum(stay)))[np.concatenate(([0], np.cumsum(sizes)))]
+            left = pa.DictionaryArray.from_arrays(pa.array(codes[stay]), flat.dictionary).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), left)], names=["words"])
+
+    sentences = lines.select("doc_no", F.coalesce("words", F.array().cast("array<string>")).alias("words")).mapInArrow(thin, schema).where(F.size("words") > 1)
+    sentences = cut(sentences)
+    if sentences.isEmpty():
+        return none
     parts = max(1, min(64, sentences.rdd.getNumPartitions()))
-    model = Word2Vec(vectorSize=VECTOR_SIZE, windowSize=CONTEXT_WINDOW, minCount=least, numPartitions=parts, maxIter=1, seed=7, inputCol="words", outputCol="v", maxSentenceLength=400).fit(sentences)
-    from pyspark.ml.functions import vector_to_array
+    # the vocabulary is what is left of the words chosen above
+    model = Word2Vec(vectorSize=VECTOR_SIZE, windowSize=CONTEXT_WINDOW, minCount=1, numPartitions=parts, maxIter=1, seed=7, inputCol="words", outputCol="v", maxSentenceLength=400).fit(sentences)
+    got = model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector")).toPandas()
+    m = np.array(got["vector"].tolist(), np.float64).reshape(-1, VECTOR_SIZE)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    weight = np.array([share.get(w, 0.0) for w in got["word"]])
+    return list(got["word"]), (m - (weight @ m) / max(weight.sum(), 1e-12)).astype(np.float32)
+
+
+def surroundings(ids: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each place of a text the sum of the vectors (rows of ``m``) of the words around it; an id of -1 has none."""
+    x = np.where((ids >= 0)[:, None], m[ids], 0.0) if len(m) else np.zeros((len(ids), m.shape[1]))
+    run = np.vstack([np.zeros((1, x.shape[1])), x.cumsum(0, dtype=np.float64)])
+    at = np.arange(len(ids))
+    return run[np.minimum(len(ids), at + CONTEXT_WINDOW + 1)] - run[np.maximum(0, at - CONTEXT_WINDOW)] - x
+
+
+class _Sums:
+    """Sums of vectors by word over one half of the documents, handed on as they fill."""
+
+    def __init__(self, half: int, most: int = 50_000):
+        self.half, self.most, self.at = half, most, {}
+        self.sums, self.counts = np.zeros((1024, VECTOR_SIZE)), np.zeros(1024, np.int64)
+
+    def add(self, words: list[str], vectors: np.ndarray) -> None:
+        slots = np.fromiter((self.at.setdefault(w, len(self.at)) for w in words), np.int64, len(words))
+        if len(self.at) > len(self.counts):
+            grown = max(len(self.at), 2 * len(self.counts)) - len(self.counts)
+            self.sums, self.counts = np.pad(self.sums, ((0, grown), (0, 0))), np.pad(self.counts, (0, grown))
+        order = np.argsort(slots, kind="stable")
+        first = np.flatnonzero(np.diff(slots[order], prepend=-1))
+        self.sums[slots[order][first]] += np.add.reduceat(vectors[order], first, axis=0)
+        self.counts[slots[order][first]] += np.diff(np.append(first, len(order)))
+
+    def rows(self) -> Iterator[tuple]:
+        for w, i in self.at.items():
+            yield None, None, None, None, self.half, None, "context", w, None, None, None, None, None, None, int(self.counts[i]), self.sums[i].tolist()
+        self.__init__(self.half, self.most)
+
+
+def _read(lines: DataFrame, links: DataFrame, vectors: tuple[list[str], np.ndarray]) -> DataFrame:
+    """Tokens that may be misread and words at line ends that may be broken, with what the decision needs; and every word's sum of surroundings (``context``).
+
+    Words of the vocabulary that are no one's misreading are left out at the source; what else is not suspect goes when it meets the links.
+    """
+    spark = lines.sparkSession
+    sc = spark.sparkContext
+    spoken = {w: i for i, w in enumerate(vectors[0])}
+    named = spark.createDataFrame([(w,) for w in vectors[0]], "entry string")
+    suspect = {r[0] for r in named.join(links, "entry", "left_semi").collect()}  # words of the vocabulary, a bounded list
+    shared = sc.broadcast((spoken, frozenset(w for w in spoken if w not in suspect), vectors[1]))
+
+    def rows(documents: Iterator[dict]) -> Iterator[tuple]:
+        index, known, m = shared.value
+        halves = (_Sums(0), _Sums(1))
+        for r in documents:
+            own = [(x["page_no"], x["line_no"], x["text"]) for x in r["lines"] if not (x["header"] or x["pageno"])]
+            tokens = [x.split() for _, _, x in own]
+            keys = [[key_of(t) for t in ts] for ts in tokens]
+            flat = [k for ks in keys for k in ks]
+            if not flat:
+                continue
+            around = surroundings(np.fromiter((index.get(k, -1) for k in flat), np.int64, len(flat)), m)
+            sums = halves[r["doc_no"] & 1]
+            sums.add(flat, around)
+            if len(sums.at) > sums.most:
+                yield from sums.rows()
+            carry, at = False, 0
+            for i, (p, k, line) in enumerate(own):
+                end = _ends_broken(line) if i + 1 < len(own) else None
+                here = len(tokens[i])
+                for j in range(1 if carry else 0, here - 1 if end else here):
+                    e = keys[i][j]
+                    if e and e not in known and e != "#":
+                        yield r["scan_id"], r["doc_no"], p, k, j + 1, tokens[i][j], "word", e, numeric_fix(tokens[i][j]), None, None, None, None, None, None, around[at + j].tolist()
+                at += here
+                carry = end is not None
+                if end:
+                    (np_, nk, _), right = own[i + 1], tokens[i + 1][0]
+                    left, sign = end
+                    both = (around[at - 1] + around[at]).tolist()
+                    yield r["scan_id"], r["doc_no"], p, k, here, left + "\n" + right, "broken", key_of(left + right), key_of(left + "-" + right), len(left.lstrip(OUTER)), np_, nk, sign, key_of(left) in index and key_of(right) in index, None, both
+        for sums in halves:
+            yield from sums.rows()
+
+    return _stream(lines.select("scan_id", "doc_no", "lines"), rows, _READ)
+
+
+def _likeness(links: DataFrame, read: DataFrame, vectors: tuple[list[str], np.ndarray]) -> tuple[DataFrame, np.ndarray]:
+    """``links`` with how much alike the surroundings of both words are (``like``), how much less than those of the nearest frequent word (``gap``), and the frequent word's own ``vector``.
+
+    Also the vectors of the frequent words, those that are no one's misreading. ``tell`` says from 0 to 1 how much surroundings tell in these documents at all: how alike those of the same word are in one half of them and in the other.
+    """
+    spark = links.sparkSession
+    total = lambda when: F.array(*(F.coalesce(F.sum(F.when(when, F.col("around")[i])), F.lit(0.0)).cast("float") for i in range(VECTOR_SIZE)))
+    half = F.col("token_no")
+    context = cut(read.where("kind = 'context'").groupBy("entry").agg(F.sum("n").alias("n"), total(F.lit(True)).alias("vector"), total(half == 0).alias("even")))
+    words = spark.createDataFrame([(w,) for w in vectors[0]], "entry string")
+    usual = context.join(words, "entry").join(links.select("entry").distinct(), "entry", "left_anti").select("n", "vector", "even").toPandas()  # one row per word of the vocabulary
+    near, even = (np.array(usual[c].tolist(), np.float32).reshape(-1, VECTOR_SIZE) for c in ("vector", "even"))
+    agree = (_units(even) * _units(near - even)).sum(1)
+    tell = max(0.0, float(np.average(agree, weights=usual["n"]))) if len(usual) else 0.0
+    wide = len(links.columns)
+    frequent = spark.sparkContext.broadcast(_units(near))
+    context = context.select("entry", "vector")
+    met = links.join(context.withColumnRenamed("vector", "own"), "entry", "left").join(context.withColumnRenamed("entry", "word"), "word", "left")
+    schema = T.StructType([*(links.schema[c] for c in links.columns), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("like", T.DoubleType()), T.StructField("gap", T.DoubleType()), T.StructField("tell", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(column: pa.Array) -> np.ndarray:
+            return _units(np.array([v or [0.0] * VECTOR_SIZE for v in column.to_pylist()], np.float32).reshape(-1, VECTOR_SIZE))
 
-    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                b = batch.slice(a, 512)
+                u, v = matrix(b.column(wide)), matrix(b.column(wide + 1))
+                like = (u * v).sum(1).astype(np.float64)
+                best = (u @ frequent.value.T).max(1) if len(frequent.value) else np.zeros(len(u))
+                gap = np.maximum(best - like, 0.0)
+                yield pa.RecordBatch.from_arrays([*b.columns[: wide], pa.array(list(v), pa.list_(pa.float32())), pa.array(like), pa.array(gap.astype(np.float64)), pa.array([tell] * len(gap), pa.float64())], names=schema.names)
 
+    return met.select(*links.columns, "own", "vector").mapInArrow(run, schema), frequent.value
 
-def suspects(model: ScanModel) -> DataFrame:
-    """Tokens that may be misread, and words at line ends that may be broken, with what the decision needs.
 
-    Entries of the lexicon that are frequent and no one's misreading are left out at the source; that list is bounded as the vocabulary is.
-    """
-    spark = model.lines.sparkSession
-    total = model.lexicon.agg(F.sum("every")).first()[0] or 0
-    least = max(3, math.ceil(total * VOCABULARY_SHARE))
-    frequent = model.lexicon.where(F.col("every") >= least).join(model.corrections.select("entry"), "entry", "left_anti")
-    good = spark.sparkContext.broadcast(frozenset(r[0] for r in frequent.select("entry").collect()))
+def _units(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    def rows(r: dict) -> Iterator[tuple]:
-        known = good.value
-        own = [(x["page_no"], x["line_no"], x["text"]) for x in r["lines"] if not (x["header"] or x["pageno"])]
-        flat: list[tuple[int, int, int, str]] = []
-        carry = False
-        for i, (p, k, line) in enumerate(own):
-            tokens = line.split()
-            end = _ends_broken(line) if i + 1 < len(own) else None
-            first = 1 if carry else 0
-            stop = len(tokens) - 1 if end else len(tokens)
-            keys = [key_of(t) for t in tokens]
-            for j in range(first, stop):
-                e = keys[j]
-                if e and e not in known and e != "#":
-                    around = keys[max(0, j - CONTEXT_WINDOW) : j] + keys[j + 1 : j + 1 + CONTEXT_WINDOW]
-                    yield r["scan_id"], r["doc_no"], p, k, j + 1, tokens[j], "word", e, numeric_fix(tokens[j]), None, None, None, None, around
-            carry = False
-            if end:
-                np_, nk, nline = own[i + 1]
-                right = nline.split()[0]
-                left, sign = end
-                carry = True
-                around = keys[max(0, len(tokens) - 1 - CONTEXT_WINDOW) : len(tokens) - 1] + [key_of(t) for t in nline.split()[1 : 1 + CONTEXT_WINDOW]]
-                lead = left.lstrip(OUTER)
-                yield r["scan_id"], r["doc_no"], p, k, len(tokens), left + "\n" + right, "broken", key_of(left + right), key_of(left + "-" + right), len(lead), np_, nk, sign, around
-
-    return _map(model.lines, rows, _SUSPECTS)
-
-
-def _vector_lookup(vectors: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    rows = vectors.collect()
-    words = {r[0]: i for i, r in enumerate(rows)}
-    m = np.array([r[1] for r in rows], np.float32) if rows else np.zeros((0, VECTOR_SIZE), np.float32)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return words, m / np.where(norm == 0, 1, norm)
-
-
-def choose(choices: list[dict], context: list[str], words: dict[str, int], m: np.ndarray) -> str | None:
-    """The frequent word that a rare one stands for in its context; None if none is good enough."""
-    at = [words[c] for c in context if c in words]
-    mean = m[at].mean(axis=0) if at else None
-    if mean is not None:
-        mean = mean / (np.linalg.norm(mean) or 1)
-    best, best_score = None, -math.inf
+
+def choose(choices: list[dict], around: list[float] | None, frequent: np.ndarray) -> str | None:
+    """The linked word that an occurrence stands for; None if it is the misreading of none.
+
+    A linked word must be a neighbour: what surrounds the rare word, all over or here, must be about as much like the word's surroundings as like those of
+    the nearest of the ``frequent`` words. There must be evidence enough by frequencies and likeness; the best for the place is taken.
+    """
+    context = np.asarray(around if around is not None else [0.0] * VECTOR_SIZE)
+    context = context / max(float(np.linalg.norm(context)), 1e-12)
+    best = float((frequent @ context).max()) if len(frequent) else 0.0
+    found, most = None, -math.inf
     for c in choices:
-        like = float(m[words[c["word"]]] @ mean) if mean is not None and c["word"] in words else None
-        if c["ratio"] < RATIO and (like is not None and like < CONTEXT_LEAST):
+        here, tell = float(np.dot(c["vector"], context)), c["tell"]
+        if tell * min(c["gap"], max(0.0, best - here)) > NEAR_GAP:
             continue
-        score = math.log(c["ratio"]) + 3 * (like or 0.0)
-        if score > best_score:
-            best, best_score = c["word"], score
-    return best
+        evidence = math.log(c["ratio"]) + BACKED_WEIGHT * c["backed"]
+        if evidence + LIKENESS_WEIGHT * tell * max(c["like"], here) < math.log(RATIO) + EVIDENCE_MORE * tell - 1e-9:
+            continue
+        if evidence + LIKENESS_WEIGHT * tell * here > most:
+            found, most = c["word"], evidence + LIKENESS_WEIGHT * tell * here
+    return found
 
 
 _DECIDED = T.StructType(
@@ -617,21 +825,20 @@ def decide(model: ScanModel) -> DataFrame:
 
     ``fixed`` is the token as it should read; of a broken word the whole word, null where it is only misread on that line.
     """
-    found = suspects(model)
     lex = model.lexicon.select("entry", F.struct("sure", "every").alias("n"))
     by_fold = model.lexicon.where(~F.col("entry").startswith("#")).groupBy("folded").agg(F.max_by("entry", "every").alias("lead"), F.max("every").alias("lead_n"))
     with_counts = (
-        found.withColumn("folded", _fold_udf()(F.col("entry")))
+        model.suspects.withColumn("folded", _fold_udf()(F.col("entry")))
         .join(lex.select("entry", F.col("n").alias("n_entry")), "entry", "left")
         .join(lex.select(F.col("entry").alias("other"), F.col("n").alias("n_other")), "other", "left")
         .join(by_fold, "folded", "left")
         .join(model.corrections, "entry", "left")
     )
-    spark = model.lines.sparkSession
-    shared = spark.sparkContext.broadcast(_vector_lookup(model.vectors))
+
+    shared = model.lines.sparkSession.sparkContext.broadcast(model.frequent)
+
     # parts of broken words as words of their own
     def rows(r: dict) -> Iterator[tuple]:
-        words, m = shared.value
         n = r["n_entry"]["every"] if r["n_entry"] else 0
         o = r["n_other"]["every"] if r["n_other"] else 0
         head = (r["scan_id"], r["doc_no"])
@@ -640,7 +847,7 @@ def decide(model: ScanModel) -> DataFrame:
             if r["other"] is not None and o >= RATIO_BACKED * max(n, 1) and not (r["n_entry"] and r["n_entry"]["sure"]):
                 yield (*here, _as_digits(r["token"]))
             elif r["choices"]:
-                word = choose(r["choices"], r["context"], words, m)
+                word = choose(r["choices"], r["around"], shared.value)
                 if word is not None:
                     yield (*here, _like(r["token"], word))
             return
@@ -654,12 +861,12 @@ def decide(model: ScanModel) -> DataFrame:
             # nothing known of the whole: a word goes on in lower case after a part that is no word
             if not right[:1].islower() or key_of(left).startswith("#"):
                 return
-            if key_of(left) in words and key_of(right) in words:
+            if r["parts_known"]:
                 return
         yield (*head, r["page_no"], r["line_no"], r["token_no"], "hyphen", None if n else r["lead"])
         fixed = None
         if r["choices"]:
-            fixed = choose(r["choices"], r["context"], words, m)
+            fixed = choose(r["choices"], r["around"], shared.value)
         elif n == 0 and fold_n >= RATIO_BACKED and not r["entry"].startswith("#"):
             fixed = r["lead"]
         if fixed and fixed != r["entry"]:
@@ -695,7 +902,7 @@ def _like(token: str, word: str) -> str:
     core = bare(token)
     if sum(c.isupper() for c in core) > 1 and not any(c.islower() for c in core):
         word = word.upper()
-    elif core[:1].isupper() or core[:1].isdigit() and not core[1:2].isdigit() and False:
+    elif core[:1].isupper():
         word = word[:1].upper() + word[1:]
     return token.replace(core, word, 1)
 

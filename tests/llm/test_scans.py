@@ -78,3 +78,80 @@ def test_every_word_of_a_folded_spelling_may_be_the_right_one(spark):
     lexicon = S._with_fold(spark.createDataFrame([(w, n if n > 2 else 0, n) for w, n in counts.items()], "entry string, sure bigint, every bigint"))
     got = {r.entry: [(c.word, c.ratio) for c in r.choices] for r in S._corrections(lexicon).collect()}
     assert got["1ull"] == [("lull", 300.0)] and ("bill", 450.0) in got["b1ll"] and not {"bill", "hill", "bib", "lull"} & set(got)
+
+
+FISH = "prisoner court judge release lawyer money jail sentence appeal hearing".split()
+GAME = "player goal team kick field match coach score stadium referee".split()
+
+
+def ambiguous(n=60, seed=3):
+    """Pages in which 'ba1l' stands for 'bail' among words of courts and for 'ball' among words of games; nothing but the company tells."""
+    rng = random.Random(seed)
+    rows, truth = [], {}
+    for d in range(n):
+        topic, word = ((FISH, "bail"), (GAME, "ball"))[d % 2]
+        pages = []
+        for p in range(1, 4):
+            lines = []
+            for k in range(10):
+                line = rng.sample(topic, 6)
+                line.insert(3, word)
+                if p == 3 and k == 4 and d % 10 < 2:
+                    line[3] = "ba1l"
+                    truth[d, p, k + 1] = word
+                lines.append(" ".join(line))
+            pages.append("\n".join(lines))
+        rows.append((d, None, pages, 1, "x"))
+    return rows, truth
+
+
+def test_context_decides_and_shuffled_vectors_do_not(spark, monkeypatch):
+    rows, truth = ambiguous()
+    df = spark.createDataFrame(rows, COLS)
+
+    def fixed(model):
+        return {(r.scan_id, r.page_no, r.line_no): r.fixed for r in S.decide(model).where("kind = 'misread'").collect()}
+
+    assert fixed(S.learn(df)) == truth and set(truth.values()) == {"bail", "ball"}
+    real = S._vectors
+
+    def shuffled(lines, lexicon):
+        words, m = real(lines, lexicon)
+        return words, m[list(random.Random(5).sample(range(len(m)), len(m)))] if len(m) else m
+
+    def absent(lines, lexicon):
+        return [], real(lines, lexicon)[1][:0]
+
+    for without in (shuffled, absent):
+        monkeypatch.setattr(S, "_vectors", without)
+        assert fixed(S.learn(df)) != truth
+
+
+def test_a_rare_word_of_other_company_is_no_misreading(spark):
+    """'hail' could be a misread 'bail', but the words around it say that it is none; without vectors it would be one."""
+    rng = random.Random(4)
+    pages = [[" ".join([*rng.sample(topic, 3), word, *rng.sample(topic, 3)]) for _ in range(12)] for topic, word in [(FISH, "bail"), (GAME, "storm")] * 30]
+    for i in (3, 5, 7, 9):
+        pages[i + 2][4] = pages[i + 2][4].replace("storm", "hail")
+    df = spark.createDataFrame([(d, None, ["\n".join(p)], 1, "x") for d, p in enumerate(pages)], COLS)
+    model = S.learn(df)
+    assert [r.entry for r in S._links(model.lexicon).where("entry = 'hail' and word = 'bail'").collect()] == ["hail"]
+    assert S.decide(model).where("kind = 'misread'").count() == 0
+
+
+def test_furniture_beyond_what_is_broadcast(spark, monkeypatch):
+    rows, truth = corpus(60, 7)
+    df = spark.createDataFrame([(*r, "x") for r in rows], COLS)
+    want = {tuple(r) for r in S.defects(S.learn(df)).collect()}
+    monkeypatch.setattr(S, "FURNITURE_SHARED", 0)
+    assert {tuple(r) for r in S.defects(S.learn(df)).collect()} == want
+
+
+def test_furniture_does_not_depend_on_the_other_documents(spark):
+    """A footer of two dozen documents stays furniture among many others, and a long one too."""
+    footer = "This sheet is the property of the operating company and must not be handed to others without its written consent in advance"
+    rng = random.Random(9)
+    make = lambda foot: "\n".join([" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(14)] + ([foot] if foot else []))
+    for others in (20, 400):
+        df = spark.createDataFrame([(d, None, [make(footer if d < 24 else None)], 0, "x") for d in range(24 + others)], COLS)
+        assert S.defects(S.learn(df)).where("kind = 'header'").count() == 24
