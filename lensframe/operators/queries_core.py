@@ -22,7 +22,7 @@ def _bare(name: str) -> Column:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element of every complete tree with its number, its parent's number and its name without prefix."""
-    found = shred.entities(_xml_nodes(spark, sf_dir), ["file_id"], {"name": "elem_name"})
+    found = shred.shred_entities(table(spark, sf_dir, "xml_docs"), "tree", ["file_id"], {"name": "elem_name"})
     return found.select("file_id", F.col("node_no").alias("elem_no"), "parent_no", _bare("elem_name").alias("elem_name"))
 
 
@@ -83,11 +83,19 @@ _REFERENCES = """m AS (SELECT id, assetids, unnest(t) AS tok, generate_subscript
     e AS (SELECT id, assetids, i, CASE WHEN tok LIKE '"%' AND regexp_matches(regexp_replace(tok, '\\b(and|n/a|N/A|none|null|NULL)\\b', '', 'g'), '[A-Za-z]') THEN [trim(replace(substr(tok, 2, length(tok) - 2), '""', '"'))] ELSE regexp_extract_all(tok, '[0-9]+') END AS v FROM m),
     r AS (SELECT id, assetids, i, unnest(v) AS asset_ref, generate_subscripts(v, 1) AS j FROM e)"""
 
+_ELEMENTS = """d AS (SELECT DISTINCT file_id, tree FROM xml_docs WHERE tree IS NOT NULL AND json_valid(tree)), t AS (SELECT file_id, CASE WHEN json_type(tree) = 'VARCHAR' THEN json_extract_string(tree, '$') ELSE tree END AS tree FROM d),
+    a AS (SELECT t.file_id, x.id, x.parent, x.key, x.value, x.type, x.fullkey FROM t, json_tree(t.tree) AS x), n AS (SELECT * FROM a WHERE type = 'OBJECT' AND regexp_full_match(fullkey, '\\$(\\.children(\\[[0-9]+\\])?|\\.Elem)*') AND json_extract(value, '$.name') IS NOT NULL),
+    e AS (SELECT file_id, id, replace(fullkey, '.Elem', '') AS place, CAST(row_number() OVER (PARTITION BY file_id ORDER BY id) AS INTEGER) AS no, regexp_replace(json_extract_string(value, '$.name'), '^[^:]*:', '') AS name FROM n)"""
+
 ORACLES = {
-    "p1_found": """WITH d AS (SELECT DISTINCT file_id, tree FROM xml_docs WHERE tree IS NOT NULL AND json_valid(tree)), t AS (SELECT file_id, CASE WHEN json_type(tree) = 'VARCHAR' THEN json_extract_string(tree, '$') ELSE tree END AS tree FROM d),
-    n AS (SELECT t.file_id, x.id, x.value, x.fullkey FROM t, json_tree(t.tree) AS x WHERE x.type = 'OBJECT' AND regexp_full_match(x.fullkey, '\\$(\\.children(\\[[0-9]+\\])?|\\.Elem)*') AND json_extract(x.value, '$.name') IS NOT NULL),
-    e AS (SELECT file_id, replace(fullkey, '.Elem', '') AS place, row_number() OVER (PARTITION BY file_id ORDER BY id) AS no, regexp_replace(json_extract_string(value, '$.name'), '^[^:]*:', '') AS name FROM n)
-    SELECT e.file_id, CAST(e.no AS INTEGER) AS elem_no, CAST(coalesce(p.no, 0) AS INTEGER) AS parent_no, e.name AS elem_name FROM e LEFT JOIN e p ON p.file_id = e.file_id AND e.place <> '$' AND p.place = regexp_replace(e.place, '\\.children(\\[[0-9]+\\])?$', '')""",
+    "p1_found": f"""WITH {_ELEMENTS}
+    SELECT e.file_id, e.no AS elem_no, coalesce(p.no, 0) AS parent_no, e.name AS elem_name FROM e LEFT JOIN e p ON p.file_id = e.file_id AND e.place <> '$' AND p.place = regexp_replace(e.place, '\\.children(\\[[0-9]+\\])?$', '')""",
+    "p1_attributes": f"""WITH {_ELEMENTS}, h AS (SELECT a.file_id, a.id, a.type, e.no FROM a JOIN e ON e.file_id = a.file_id AND e.id = a.parent WHERE a.key = 'attrs')
+    SELECT h.file_id, h.no AS elem_no, CAST(row_number() OVER (PARTITION BY h.file_id, h.id ORDER BY a.id) AS INTEGER) AS attr_no, CASE WHEN h.type = 'OBJECT' THEN a.key ELSE json_extract_string(a.value, '$[0]') END AS attr_name,
+    CASE WHEN h.type = 'OBJECT' THEN json_extract_string(a.value, '$') ELSE json_extract_string(a.value, '$[1]') END AS attr_value FROM h JOIN a ON a.file_id = h.file_id AND a.parent = h.id""",
+    "p1_texts": f"""WITH {_ELEMENTS}, h AS (SELECT a.file_id, a.id, a.type, a.value, e.no FROM a JOIN e ON e.file_id = a.file_id AND e.id = a.parent WHERE a.key = 'children'),
+    c AS (SELECT h.file_id, h.no, CAST(row_number() OVER (PARTITION BY h.file_id, h.id ORDER BY a.id) AS INTEGER) AS child_no, a.value, a.type FROM h JOIN a ON a.file_id = h.file_id AND a.parent = h.id WHERE h.type = 'ARRAY' UNION ALL SELECT file_id, no, 1, value, type FROM h WHERE type <> 'ARRAY'),
+    v AS (SELECT file_id, no AS elem_no, child_no, CASE WHEN type = 'VARCHAR' THEN json_extract_string(value, '$') WHEN type = 'OBJECT' THEN json_extract_string(value, '$.Text') END AS text FROM c) SELECT * FROM v WHERE regexp_matches(text, '\\S')""",
     "p3_schema": """WITH c AS (SELECT DISTINCT uidlog, file_id, upper(trim(mnemonic)) AS mnemonic, lower(trim(typelogdata)) AS k, coalesce(curve_no, 0) AS no FROM log_curves WHERE trim(mnemonic) <> ''),
     b AS (SELECT uidlog, mnemonic, bit_or(CASE k WHEN 'long' THEN 1 WHEN 'double' THEN 2 WHEN 'date time' THEN 4 WHEN 'string' THEN 8 END) AS bits, count(*) AS files FROM c GROUP BY ALL)
     SELECT uidlog, mnemonic, CASE WHEN bits = 1 THEN 'long' WHEN bits IN (2, 3) THEN 'double' WHEN bits = 4 THEN 'date time' ELSE 'string' END AS kind, files FROM b""",

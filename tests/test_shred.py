@@ -43,3 +43,26 @@ def test_very_deep_and_round_trip():
     for bad in ('{"a":1', "[1,]", '{"a" 1}', "[1 2]", "", "[]x", '{"a":1,}'):
         with pytest.raises(ValueError):
             S._decode_deep(bad)
+
+
+def test_nothing_is_lost(spark):
+    """Nested lists, repeated scalars, objects under several labels: the tables together hold every scalar once."""
+    tree = '{"name":"a","tags":["p","q"],"children":[["x"],["y"],[{"name":"b","n":1}]],"logs":[{"name":"L1"},{"name":"L2","tags":["r"]}],"at":{"lat":1.5}}'
+    df = spark.createDataFrame([(1, tree, "k"), (1, tree, "k"), (2, "[[1,2],[3]]", "k")], "file_id int, tree string, label string")
+    nodes = S.shred(df, "tree", ["file_id"])
+    tables = {k: [r.asDict() for r in t.collect()] for k, t in S.related_tables(nodes, ["file_id"]).items()}
+    assert sorted(tables) == ["", "/", "/children", "/tags", "at", "children", "logs"]
+    assert [(r["ordinal"], r["path"], r["value"]) for r in sorted(tables["/children"], key=lambda r: r["ordinal"])] == [(1, "1.1", "x"), (2, "2.1", "y")]
+    assert sorted(r["value"] for r in tables["/tags"]) == ["p", "q"] and [(r["path"], r["value"]) for r in sorted(tables["/"], key=lambda r: r["ordinal"])] == [("1.1", "1"), ("1.2", "2"), ("2.1", "3")]
+    assert sorted((r["name"], r["tags"]) for r in tables["logs"]) == [("L1", None), ("L2", "r")] and tables["at"][0]["lat"] == "1.5"
+    b = tables["children"][0]
+    assert (b["name"], b["n"], b["parent_no"], b["path"]) == ("b", "1", 1, "3.1")
+    assert [r.text for r in S.texts(nodes, ["file_id"]).orderBy("child_no").collect()] == ["x", "y"]
+
+
+def test_entities_in_one_task_as_by_aggregation(spark, data):
+    df = spark.read.parquet(f"{data}/xml_docs.parquet")
+    a = S.shred_entities(df, "tree", ["file_id"], {"name": "n"}).select("file_id", "node_no", "parent_no", "n")
+    b = S.entities(S.shred(df, "tree", ["file_id"]), ["file_id"], {"name": "n"}).select("file_id", "node_no", "parent_no", "n")
+    assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+    assert S.shred_entities(df.limit(0), "tree", ["file_id"], {"name": "n"}).count() == 0
