@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 from lensframe.functions.scalars import as_when, is_empty
 from lensframe.operators.zset import support_of
 
-#: Names that say what a column is, in order of preference.
-LANES = ("status", "state", "phase", "stage", "type", "kind", "severity", "priority", "category")
+#: What the name of a lane may contain, and names that say what a column is, in order of preference.
+LANES = r"status|state|phase|stage|type|kind|severity|priority|category"
 TITLES = ("title", "name", "label", "summary", "subject", "externalid", "well", "id")
 DEPTHS = ("DEPT", "dept", "md", "MD", "depth", "Depth", "tvd", "TVD")
-START_NAMES, END_NAMES = r"start|begin|from|created|planned", r"end|finish|stop|to$|until|closed"
-AXES = ((r"^(x|east|easting|lon)", "x"), (r"^(y|north|northing|lat)", "y"), (r"^(z|tvd|depth|elev|alt)", "z"))
+#: What the names of a span's ends contain, and those of three axes, the first that fits.
+START_NAMES, END_NAMES = r"start|begin|from|opened|created", r"end|finish|to|until|closed|done"
+AXES = ((r"^(x|east)", r"lon"), (r"^(y|north)", r"lat"), (r"^(z|tvd|depth|elev|alt)",))
+#: Fixed value: a text shorter than this may be a title.
+TITLE_SHORTER = 80
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ class ColumnShape:
     lo: float | None
     hi: float | None
     mean_length: float
+    shortest: int
 
     @property
     def numeric(self) -> bool:
@@ -61,10 +65,11 @@ def shapes(df: DataFrame, limit: int | None = None) -> list[ColumnShape]:
             F.min(number).alias(f"lo{i}"),
             F.max(number).alias(f"hi{i}"),
             (F.avg(F.when(filled, F.length(col.cast("string")))) if plain else F.lit(0.0)).alias(f"len{i}"),
+            (F.min(F.when(filled, F.length(col.cast("string")))) if plain else F.lit(None).cast("int")).alias(f"short{i}"),
         ]
     r = rows.agg(*aggs).first()
     return [
-        ColumnShape(c, df.schema[c].dataType, r["n"], r[f"f{i}"], r[f"d{i}"], r[f"w{i}"], r[f"w{i}"] > 0, r[f"lo{i}"], r[f"hi{i}"], float(r[f"len{i}"] or 0)) for i, c in enumerate(df.columns)
+        ColumnShape(c, df.schema[c].dataType, r["n"], r[f"f{i}"], r[f"d{i}"], r[f"w{i}"], r[f"w{i}"] > 0, r[f"lo{i}"], r[f"hi{i}"], float(r[f"len{i}"] or 0), int(r[f"short{i}"] or 0)) for i, c in enumerate(df.columns)
     ]
 
 
@@ -77,10 +82,9 @@ def date_field(s: list[ColumnShape]) -> str | None:
 
 
 def lane_field(s: list[ColumnShape]) -> str | None:
-    """Few values that repeat; known names first, then the fewest values."""
+    """Few values that repeat; names that hold a known word first, then the fewest values."""
     fit = [c for c in s if c.rows >= 4 and 2 * c.filled >= c.rows and 2 <= c.distinct <= 12 and c.filled >= 3 * c.distinct]
-    rank = lambda c: LANES.index(c.name.lower()) if c.name.lower() in LANES else len(LANES)
-    return min(fit, key=lambda c: (rank(c), c.distinct)).name if fit else None
+    return min(fit, key=lambda c: (not re.search(LANES, c.name, re.I), c.distinct)).name if fit else None
 
 
 def numeric_fields(s: list[ColumnShape]) -> list[str]:
@@ -90,8 +94,9 @@ def numeric_fields(s: list[ColumnShape]) -> list[str]:
 
 def geo_pair(s: list[ColumnShape]) -> tuple[str, str] | None:
     """(longitude, latitude) by name and range."""
-    lat = next((c.name for c in s if c.numeric and re.match("lat", c.name, re.I) and c.filled and -90 <= c.lo and c.hi <= 90), None)
-    lon = next((c.name for c in s if c.numeric and re.match("lon|lng", c.name, re.I) and c.filled and -180 <= c.lo and c.hi <= 180), None)
+    within = lambda c, most: c.numeric and (c.lo is None or -most <= c.lo and c.hi <= most)
+    lat = next((c.name for c in s if re.match("lat", c.name, re.I) and within(c, 90)), None)
+    lon = next((c.name for c in s if re.match("lon|lng", c.name, re.I) and within(c, 180)), None)
     return (lon, lat) if lat and lon else None
 
 
@@ -101,33 +106,36 @@ def prose_field(s: list[ColumnShape]) -> str | None:
 
 
 def title_field(s: list[ColumnShape]) -> str | None:
-    by = {c.name.lower(): c.name for c in s}
+    """Known names first, if they have a value; else the first column with a short text; else the first column."""
+    by = {c.name.lower(): c.name for c in reversed(s) if c.filled}
     named = next((by[t] for t in TITLES if t in by), None)
-    return named or next((c.name for c in s if c.text and 0 < c.mean_length <= 80), None)
+    return named or next((c.name for c in s if c.text and 0 < c.shortest < TITLE_SHORTER), s[0].name if s else None)
 
 
 def span_fields(s: list[ColumnShape], df: DataFrame) -> tuple[str, str] | None:
-    """(start, end): two date columns by their names, where three rows have both and none ends before it starts."""
-    dates = date_fields(s)
+    """(start, end): two columns with dates, by their names or else the first ones, where three rows have both and none ends before it starts."""
+    dates = [c.name for c in s if c.dates]
     if len(dates) < 2:
         return None
-    start = next((c for c in dates if re.search(START_NAMES, c, re.I)), None)
-    end = next((c for c in dates if c != start and re.search(END_NAMES, c, re.I)), None)
-    if not start or not end:
-        return None
+    start = next((c for c in dates if re.search(START_NAMES, c, re.I)), dates[0])
+    others = [c for c in dates if c != start]
+    end = next((c for c in others if re.search(END_NAMES, c, re.I)), others[0])
     a, b = as_when(F.col(f"`{start}`"), df.schema[start].dataType), as_when(F.col(f"`{end}`"), df.schema[end].dataType)
     r = support_of(df).agg(F.count_if(a.isNotNull() & b.isNotNull()).alias("both"), F.count_if(b < a).alias("bad")).first()
     return (start, end) if r["both"] >= 3 and r["bad"] == 0 else None
 
 
 def axes(s: list[ColumnShape]) -> tuple[str, str, str] | None:
+    """Three columns of numbers: by their names, else the first that no axis before has."""
     nums = numeric_fields(s)
-    chosen: list[str | None] = [next((c for c in nums if re.match(p, c, re.I)), None) for p, _ in AXES]
-    rest = [c for c in nums if c not in chosen]
-    for i in range(3):
-        if chosen[i] is None and rest:
-            chosen[i] = rest.pop(0)
-    return tuple(chosen) if all(chosen) else None  # type: ignore[return-value]
+    chosen: list[str] = []
+    for names in AXES:
+        named = next((c for p in names for c in nums if re.search(p, c, re.I)), None)
+        rest = [c for c in nums if c not in chosen]
+        if not named and not rest:
+            return None
+        chosen.append(named or rest[0])
+    return tuple(chosen)  # type: ignore[return-value]
 
 
 def depth_field(s: list[ColumnShape]) -> str | None:
@@ -135,21 +143,15 @@ def depth_field(s: list[ColumnShape]) -> str | None:
     return next((d for d in DEPTHS if d in by and by[d].numeric and by[d].filled), None)
 
 
-def available_views(df: DataFrame) -> list[str]:
-    """The views that a table offers."""
+def available_views(df: DataFrame, name: str = "") -> list[str]:
+    """The views that a table offers, in order; assets have their tree, and events their timeline."""
     s = shapes(df)
     nums = numeric_fields(s)
-    out = ["table", "metric"]
-    out += ["calendar", "heatmap", "timeline"] if date_field(s) else []
-    out += ["kanban", "donut"] if lane_field(s) else []
-    out += ["histogram"] if nums else []
-    out += ["scatter"] if len(nums) >= 2 else []
-    out += ["3d"] if len(nums) >= 3 and axes(s) else []
-    out += ["map"] if geo_pair(s) else []
-    out += ["reading"] if prose_field(s) else []
-    out += ["gantt"] if span_fields(s, df) else []
-    out += ["depth"] if depth_field(s) else []
-    return out
+    offers = (
+        ("table", True), ("tree", name == "assets"), ("timeline", name == "events"), ("calendar", date_field(s)), ("heatmap", date_field(s)), ("kanban", lane_field(s)), ("gantt", span_fields(s, df)),
+        ("histogram", len(nums) >= 1), ("scatter", len(nums) >= 2), ("3d", len(nums) >= 3), ("map", geo_pair(s)), ("reading", prose_field(s)), ("depth", depth_field(s)), ("schema", True),
+    )
+    return [view for view, offered in offers if offered]
 
 
 def shape_report(df: DataFrame) -> DataFrame:
@@ -164,4 +166,6 @@ def shape_report(df: DataFrame) -> DataFrame:
     found += [("start", span[0]), ("end", span[1])] if span else []
     geo = geo_pair(s)
     found += [("longitude", geo[0]), ("latitude", geo[1])] if geo else []
+    three = axes(s)
+    found += list(zip(("axis x", "axis y", "axis z"), three)) if three else []
     return df.sparkSession.createDataFrame(found, "detector string, field string")

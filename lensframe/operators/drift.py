@@ -211,7 +211,8 @@ def _compare(pairs: DataFrame) -> DataFrame:
                     else:
                         if a[1] != b[1]:
                             out.append((r["uidlog"], r["file_id"], "renamed", b[1]))
-                        if a[4] and b[4] and a[4] != b[4]:
+                        # elements of the lattice, so that spellings of one type are no change; types that it does not know by name
+                        if a[4] and b[4] and TYPE_BITS.get(a[4], a[4]) != TYPE_BITS.get(b[4], b[4]):
                             out.append((r["uidlog"], r["file_id"], "retyped", b[1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(n).type if n in ("uidlog", "file_id") else pa.string()) for x, n in zip(zip(*out), schema.names)], names=schema.names)
@@ -320,10 +321,10 @@ def steady_schema(columns: DataFrame) -> DataFrame:
 
 
 def unified_rows(curves: DataFrame, lines: DataFrame) -> DataFrame:
-    """The data lines of all files under the steady schema: ``uidlog, file_id, line_no, curve, mnemonic, kind, as_double, as_time, as_text``.
+    """The data lines of all files under the steady schema: ``uidlog, file_id, line_no, curve, mnemonic, kind, as_long, as_double, as_time, as_text``.
 
-    ``curve`` is the same in all files of a series, ``mnemonic`` is the file's name for it. The values are cast to the curve's promoted type: long and double fill
-    ``as_double``, date time ``as_time``, and string ``as_text``. A reading marked as absent, blank, or not of the type gives no value (a row with nulls). Cells
+    ``curve`` is the same in all files of a series, ``mnemonic`` is the file's name for it. The values are cast to the curve's promoted type: long fills ``as_long``
+    (exactly) and ``as_double``, double ``as_double``, date time ``as_time``, and string ``as_text``. A reading marked as absent, blank, or not of the type gives no value (a row with nulls). Cells
     beyond the header are left out. Repeated lines count once.
     """
     columns = cut(curve_columns(curves))
@@ -335,6 +336,7 @@ def unified_rows(curves: DataFrame, lines: DataFrame) -> DataFrame:
     number = F.when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value).try_cast("double")
     return joined.select(
         "uidlog", "file_id", "line_no", "curve", "mnemonic", "kind",
+        F.when(F.col("kind") == "long", F.coalesce(value.try_cast("bigint"), F.when(number == F.floor(number), number.cast("bigint")))).alias("as_long"),
         F.when(F.col("kind").isin("long", "double"), number).alias("as_double"),
         F.when(F.col("kind") == "date time", F.try_to_timestamp(value)).alias("as_time"),
         F.when(F.col("kind") == "string", value).alias("as_text"),
@@ -343,5 +345,16 @@ def unified_rows(curves: DataFrame, lines: DataFrame) -> DataFrame:
 
 def wide(rows: DataFrame, columns: Iterable[tuple[str, str]]) -> DataFrame:
     """``unified_rows`` with one typed column per (curve, kind) of ``columns``, in their order: the steady table of one or several series."""
-    field = {"long": "cast(as_double as bigint)", "double": "as_double", "date time": "as_time", "string": "coalesce(as_text, cast(as_double as string), cast(as_time as string))"}
+    field = {"long": "as_long", "double": "as_double", "date time": "as_time", "string": "coalesce(as_text, cast(as_long as string), cast(as_double as string), cast(as_time as string))"}
     return rows.groupBy("uidlog", "file_id", "line_no").agg(*(F.max(F.when(F.col("curve") == n, F.expr(field[k]))).alias(n.lower()) for n, k in columns))
+
+
+def steady_table(curves: DataFrame, lines: DataFrame) -> DataFrame:
+    """The one table of all series: ``uidlog, file_id, line_no`` and a typed column per curve name, the same in all files.
+
+    A column's type is what the types of all curves of that name promote to, over all series; its name is in lower case. One row per name is collected.
+    """
+    rows = cut(unified_rows(curves, lines))
+    bits = F.bit_or(type_bits(F.col("kind")))
+    columns = [(r["curve"], r["kind"]) for r in rows.groupBy("curve").agg(promoted(bits).alias("kind")).orderBy("curve").collect()]
+    return wide(rows.withColumn("as_double", F.coalesce("as_double", F.col("as_long").cast("double"))), columns)

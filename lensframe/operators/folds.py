@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 from typing import Any
 
 import pandas as pd
@@ -134,7 +134,50 @@ def lineage(raw: DataFrame, derived: DataFrame, seq: str = "seq", source: str =
     return derived.join(raw.select(F.col(seq).alias(source), *(F.col(c).alias(f"input_{c}") for c in raw.columns if c != seq)), source, "left")
 
 
-def replay(journal: DataFrame, kinds: Iterator[str] | None = None) -> DataFrame:
-    """The journal's events in order, effects left out: a fold over it gives the state again."""
-    out = journal.where(F.col("k") == "ev")
-    return out.where(F.get_json_object("p", "$.kind").isin(*kinds)) if kinds else out
+def replay(journal: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """``seq, kind, key, status, text``: the events of a journal (``k, p, o, s, line``), numbered as they stand in it; what else it holds (effects) is not run again.
+
+    A line counts once for its origin and number. The folds over the result give the state that was.
+    """
+    events = journal.where(F.col("k") == "ev").groupBy("o", "s").agg(F.min("line").alias("seq"), F.min_by("p", "line").alias("p"))
+    field = lambda n: F.get_json_object("p", f"$.{n}").alias(n)
+    out = events.select("seq", field("kind"), field("key"), field("status"), field("text"))
+    return out.where(F.col("kind").isin(*kinds)) if kinds else out
+
+
+#: The arguments that make two calls of a tool the same one; of two names joined by "or" the first that is filled. Names in capitals count without case.
+CALL_KEYS = {
+    "show": ("view", "source or name", "series"), "inspect": ("source",), "make_lens": ("NAME",), "describe": ("source",), "annotate": ("source", "field"), "read_source": ("path",),
+    "read_document": ("name or path",), "run_skill": ("skill", "command"), "search": ("QUERY",), "record_profile": ("field",),
+}
+
+
+def call_key(call: Column) -> Column:
+    """What a tool call (JSON of ``tool`` and ``args``) is told apart by: tool and target; a text that is none, or of another tool, by itself."""
+    tool = F.get_json_object(call, "$.tool")
+
+    def argument(names: str) -> Column:
+        got = [F.get_json_object(call, f"$.args.{n.lower()}") for n in names.split(" or ")]
+        found = F.coalesce(*(F.when(g != "", g) for g in got), F.lit(""))
+        return F.lower(found) if names.isupper() else found
+
+    out = call
+    for name, parts in CALL_KEYS.items():
+        out = F.when(tool == name, F.concat_ws(":", F.lit(name), *(argument(p) for p in parts))).otherwise(out)
+    return out
+
+
+def once_per_turn(calls: DataFrame, turn: str, seq: str, call: str) -> DataFrame:
+    """Tool calls without those that ask the same again within a turn: the first of each stays."""
+    keyed = calls.withColumn("__key", call_key(F.col(call)))
+    first = keyed.groupBy(turn, "__key").agg(F.min_by(F.struct(*calls.columns), seq).alias("x"))
+    return first.select("x.*")
+
+
+def step_page(steps: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``task, seq, kind, subject, detail, note, part_of``: a page per step of ``story``: how many tries it took, and the task that it is part of (``task, text``)."""
+    n = F.col("tries")
+    built = F.when(n > 1, F.concat(F.lit("succeeded after "), (n - 1).cast("string"), F.when(n == 2, " failed attempt").otherwise(" failed attempts")))
+    failed = F.when(n > 1, F.concat(F.lit("tried "), n.cast("string"), F.lit(" times; the latest error:")))
+    noted = steps.withColumn("note", F.when(F.col("kind") == "built", built).when(F.col("kind") == "failed", failed))
+    return noted.join(tasks.select("task", F.col("text").alias("part_of")), "task", "left").select("task", "seq", "kind", "subject", "detail", "note", "part_of")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,8 +29,13 @@ class Lens:
     def forward(self, *states: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def delta(self, deltas: Sequence[DataFrame], states: Sequence[DataFrame]) -> DataFrame:
-        """Row-wise lenses map a change like a state."""
+    def memory(self, z: DataFrame) -> DataFrame | None:
+        """What the lens keeps of its input, as a Z-set made of the input's; None if it needs the input itself."""
+        return None
+
+    def delta(self, deltas: Sequence[DataFrame | None], states: Sequence[DataFrame], own: DataFrame | None = None) -> DataFrame:
+        """The output's change. ``states`` are the inputs' (or the lens's memory) after the change, as sums of changes that need not be consolidated; a delta that
+        is None changes nothing; ``own`` is the output before. Row-wise lenses map a change like a state."""
         return self.forward(*deltas)
 
     def backward(self, edit: DataFrame, states: Sequence[DataFrame]) -> list[DataFrame]:
@@ -110,10 +116,12 @@ class Join(Lens):
         out = {f: F.col(f"`__l_{f}`") for f in self.left_fields} | {self.left_key: F.col(f"`__l_{self.left_key}`")} | {n: F.col(f"`{c}`") for n, c in right.items()}
         return zset.consolidate(joined.select(*(c.alias(n) for n, c in out.items()), (F.col("__lw") * F.col("__rw")).alias(WEIGHT)))
 
-    def delta(self, deltas: Sequence[DataFrame], states: Sequence[DataFrame]) -> DataFrame:
-        """Both states are after the change, so what both sides changed is counted twice and taken off once."""
+    def delta(self, deltas: Sequence[DataFrame | None], states: Sequence[DataFrame], own: DataFrame | None = None) -> DataFrame:
+        """Both states are after the change, so what both sides changed is counted twice and taken off once. A side without change is not joined from."""
         da, db = deltas
         a, b = states
+        if da is None or db is None:
+            return self.forward(da, b) if db is None else self.forward(a, db)
         twice = self.forward(da, b).unionByName(self.forward(a, db))
         return zset.minus(twice, self.forward(da, db))
 
@@ -135,13 +143,17 @@ class Count(Lens):
         counted = states[0].groupBy(F.col(f"`{self.group}`")).agg(F.sum(WEIGHT).cast("bigint").alias(self.name))
         return counted.where(F.col(f"`{self.name}`") > 0).withColumn(WEIGHT, F.lit(1).cast("bigint"))
 
-    def delta(self, deltas: Sequence[DataFrame], states: Sequence[DataFrame]) -> DataFrame:
+    def memory(self, z: DataFrame) -> DataFrame:
+        """The signed number of rows per group, as weights."""
+        return zset.select(z, F.col(f"`{self.group}`"))
+
+    def delta(self, deltas: Sequence[DataFrame | None], states: Sequence[DataFrame], own: DataFrame | None = None) -> DataFrame:
         """Only groups that the change touches: the old count retracted, the new one asserted."""
         moved = deltas[0].groupBy(F.col(f"`{self.group}`").alias("__g")).agg(F.sum(WEIGHT).alias("__d")).where(F.col("__d") != 0)
-        now = (
-            states[0].withColumnRenamed(self.group, "__key").join(moved, F.col("__key").eqNullSafe(F.col("__g")), "right").groupBy("__g", "__d").agg(F.coalesce(F.sum(WEIGHT), F.lit(0)).alias("__n"))
-        )
-        both = now.select(
+        kept = states[0].select(F.col(f"`{self.group}`").alias("__key"), F.col(WEIGHT).alias("__w"))
+        now = kept.join(moved.select("__g"), F.col("__key").eqNullSafe(F.col("__g"))).groupBy(F.col("__g").alias("__k")).agg(F.sum("__w").alias("__s"))
+        found = moved.join(now, F.col("__k").eqNullSafe(F.col("__g")), "left").withColumn("__n", F.coalesce("__s", F.lit(0)))
+        both = found.select(
             F.col("__g").alias(self.group),
             F.explode(F.array(F.struct((F.col("__n") - F.col("__d")).alias("n"), F.lit(-1).alias("w")), F.struct(F.col("__n").alias("n"), F.lit(1).alias("w")))).alias("x"),
         )
@@ -162,9 +174,16 @@ class TopK(Lens):
         order = [by.desc() if self.descending else by.asc(), *(F.col(f"`{t}`").asc() for t in self.tie)]
         return zset.support(states[0]).orderBy(*order).limit(self.k).withColumn(WEIGHT, F.lit(1).cast("bigint"))
 
-    def delta(self, deltas: Sequence[DataFrame], states: Sequence[DataFrame]) -> DataFrame:
-        before = zset.minus(states[0], deltas[0])
-        return zset.minus(self.forward(states[0]), self.forward(before))
+    def delta(self, deltas: Sequence[DataFrame | None], states: Sequence[DataFrame], own: DataFrame | None = None) -> DataFrame:
+        """With its own output before, rows that only come are ranked with those at the top; only a row that goes may bring up one from below."""
+        if own is None:
+            own = self.forward(zset.consolidate(zset.minus(states[0], deltas[0])))
+        elif deltas[0].where(F.col(WEIGHT) < 0).isEmpty():
+            rows = zset.fields(states[0])
+            same = [states[0][c].eqNullSafe(F.col(f"__d_{c}")) for c in rows]
+            came = states[0].join(deltas[0].select(*(F.col(f"`{c}`").alias(f"__d_{c}") for c in rows)), reduce(lambda x, y: x & y, same), "left_semi")
+            return zset.minus(self.forward(zset.consolidate(zset.distinct(zset.consolidate(came)).unionByName(own))), own)
+        return zset.minus(self.forward(zset.consolidate(states[0])), own)
 
 
 def top_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:

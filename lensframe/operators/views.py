@@ -173,27 +173,24 @@ def timeline(df: DataFrame, field: str) -> DataFrame:
     return dense.join(F.broadcast(got), "m", "left").select(F.concat(F.floor(F.col("m") / 12).cast("string"), F.lit("-"), F.lpad((F.col("m") % 12 + 1).cast("string"), 2, "0")).alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def ancestors(nodes: DataFrame, depth_most: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """``id, ancestor, distance``: every node (``id, parent``) with itself and all above it; a parent that is not there ends the way.
 
-    By doubling: each round joins the paths known so far with themselves, so a hierarchy of depth d takes log d rounds. Cycles stop at ``depth_most``.
+    By doubling: each round joins the paths known so far with the longest of them, so a hierarchy of any depth d takes log d rounds. Pairs that are known
+    are not found again, so a cycle ends when all of its nodes are each other's ancestors.
     """
-    ids = nodes.select("id").distinct()
-    link = nodes.where("parent is not null and parent <> id").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id", F.col("parent").alias("ancestor")).distinct()
-    paths = ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(link.withColumn("distance", F.lit(1)))
-    step = link.withColumn("distance", F.lit(1))
-    reach = 1
     from lensframe.session import cut
 
-    while reach < depth_most:
-        far = step.where(F.col("distance") == reach).select(F.col("id").alias("a"), F.col("ancestor").alias("id"))
-        further = cut(far.join(step.where(F.col("distance") <= reach), "id").where("ancestor <> a").select(F.col("a").alias("id"), "ancestor", (F.col("distance") + reach).alias("distance")).distinct())
-        if further.isEmpty():
-            break
-        paths = paths.unionByName(further)
-        step = step.unionByName(further)
-        reach *= 2
-    return paths.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+    ids = nodes.select("id").distinct()
+    link = nodes.where("parent is not null and parent <> id").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id", F.col("parent").alias("ancestor")).distinct()
+    known = cut(link.withColumn("distance", F.lit(1)))
+    newest = known
+    while not newest.isEmpty():
+        far = newest.select(F.col("id").alias("a"), F.col("ancestor").alias("id"), F.col("distance").alias("so_far"))
+        further = far.join(known, "id").where("ancestor <> a").select(F.col("a").alias("id"), "ancestor", (F.col("distance") + F.col("so_far")).alias("distance"))
+        newest = cut(further.groupBy("id", "ancestor").agg(F.min("distance").alias("distance")).join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        known = known.unionByName(newest)
+    return ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(known)
 
 
 def tree_rollup(nodes: DataFrame, own: DataFrame, measures: list[str]) -> DataFrame:

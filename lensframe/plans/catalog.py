@@ -264,3 +264,44 @@ def definitions(df: DataFrame) -> DataFrame:
 
     flat = F.trim(F.regexp_replace("source", r"\s+", " "))
     return df.select(content_hash(F.col("kind"), flat, F.coalesce(F.col("deps"), F.lit(""))).alias("hash"), "kind", flat.alias("source"), "name").groupBy("hash", "kind", "source").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+class Definitions:
+    """Definitions by content under names: ``define`` gives the hash, ``bind_name`` makes a name mean it, ``publish`` does both, ``resolve`` and ``get`` lead back.
+
+    What differs in white space alone is one definition; a name bound again means the new one, and every holder of the old hash keeps the old one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._defined: dict[str, tuple[str, str, tuple[str, ...]]] = {}
+        self._names: dict[str, str] = {}
+
+    def define(self, kind: str, source: str, deps: tuple[str, ...] = ()) -> str:
+        import hashlib
+
+        flat = " ".join(source.split())
+        parts = [kind, flat, *deps]
+        key = hashlib.sha256("".join(f"{len(p.encode())}:{p}" for p in parts).encode()).hexdigest()[:16]
+        self._defined[key] = (kind, flat, tuple(deps))
+        return key
+
+    def bind_name(self, name: str, key: str) -> None:
+        if key not in self._defined:
+            raise KeyError(f"no such definition: {key}")
+        self._names[name] = key
+
+    def publish(self, name: str, kind: str, source: str, deps: tuple[str, ...] = ()) -> str:
+        key = self.define(kind, source, deps)
+        self.bind_name(name, key)
+        return key
+
+    def resolve(self, name: str) -> str | None:
+        return self._names.get(name)
+
+    def get(self, key: str) -> tuple[str, str, tuple[str, ...]] | None:
+        return self._defined.get(key)
+
+    def table(self) -> DataFrame:
+        """``name, hash, kind, source``: every name with what it means."""
+        return self.spark.createDataFrame([(n, k, *self._defined[k][:2]) for n, k in self._names.items()], "name string, hash string, kind string, source string")

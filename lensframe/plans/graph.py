@@ -32,6 +32,8 @@ class Graph:
     """
 
     COMPACT = 16
+    #: Rows of a change up to which it is handed to all tasks, so that the state that it meets is not shuffled.
+    SMALL = 100_000
 
     def __init__(self) -> None:
         self.nodes: dict[str, Node] = {}
@@ -41,6 +43,8 @@ class Graph:
         self.outbox: list[tuple[str, DataFrame, str]] = []
         self.revision = 0
         self._expected: dict[str, int] = {}
+        #: How often each node was computed by a change, and which of them gave a change: what incremental work is measured by.
+        self.computed: dict[str, int] = {}
 
     def source(self, name: str, empty: DataFrame, external: bool = False) -> str:
         """A source with its schema (``empty`` has no rows); an external one belongs to an adapter."""
@@ -56,8 +60,15 @@ class Graph:
             raise ValueError(f"no such node: {missing}")
         self.nodes[name] = Node(name, lens, list(inputs))
         self._start(name, lens.forward(*(self._base[i] for i in inputs)))
+        kept = lens.memory(self._base[inputs[0]])
+        if kept is not None:
+            self._start(self._memory(name), kept)
         return name
 
+    @staticmethod
+    def _memory(name: str) -> str:
+        return f"{name} memory"
+
     def observe(self, name: str, fn) -> None:
         self.nodes[name].observers.append(fn)
 
@@ -84,32 +95,44 @@ class Graph:
             return []
         self.revision += 1
         self.log.append({"seq": len(self.log), "revision": self.revision, "stream": name, "author": author, "origin": origin, "note": note, "delta": delta})
-        changed = {name: delta}
+        changed = {name: self._handy(delta)}
         self._grow(name, delta)
         for n in self.nodes.values():
             if n.lens is None or not any(i in changed for i in n.inputs):
                 continue
-            deltas = [changed[i] if i in changed else self._empty(i) for i in n.inputs]
-            out = cut(n.lens.delta(deltas, [self.state_of(i) for i in n.inputs]))  # lenses give consolidated changes
+            deltas = [changed.get(i) for i in n.inputs]
+            kept = n.lens.memory(deltas[0]) if deltas[0] is not None else None
+            if kept is not None:
+                self._hold(self._memory(n.name), cut(kept))
+            states = [self._sum(self._memory(n.name))] if kept is not None else [self._sum(i) for i in n.inputs]
+            self.computed[n.name] = self.computed.get(n.name, 0) + 1
+            out = cut(n.lens.delta(deltas, states, self.state_of(n.name)))  # lenses give consolidated changes
             if out.isEmpty():
                 continue
-            changed[n.name] = out
+            changed[n.name] = self._handy(out)
             self._grow(n.name, out)
         return list(changed)
 
-    def _empty(self, name: str) -> DataFrame:
-        base = self._base[name]
-        return base.sparkSession.createDataFrame([], base.schema)
+    def _handy(self, delta: DataFrame) -> DataFrame:
+        """A change, marked for broadcast if it is small; it is written, so it is counted without being made again."""
+        return F.broadcast(delta) if delta.limit(self.SMALL + 1).count() <= self.SMALL else delta
 
     def _start(self, name: str, like: DataFrame) -> None:
         self._base[name] = like.sparkSession.createDataFrame([], like.schema)
         self._since[name] = []
 
     def _grow(self, name: str, delta: DataFrame) -> None:
+        self._hold(name, delta)
+        self._tell(name, delta)
+
+    def _hold(self, name: str, delta: DataFrame) -> None:
         self._since[name].append(delta.select(*self._base[name].columns))
         if len(self._since[name]) >= self.COMPACT:
             self._base[name], self._since[name] = cut(self.state_of(name)), []
-        self._tell(name, delta)
+
+    def _sum(self, name: str) -> DataFrame:
+        """A state as the sum of its changes, not consolidated."""
+        return reduce(DataFrame.unionByName, self._since[name], self._base[name])
 
     def _tell(self, name: str, delta: DataFrame) -> None:
         for fn in self.nodes[name].observers:
@@ -137,7 +160,7 @@ class Graph:
         """What a node holds now: the last written state with the changes since, consolidated once."""
         if not self._since[name]:
             return self._base[name]
-        return zset.consolidate(reduce(DataFrame.unionByName, self._since[name], self._base[name]))
+        return zset.consolidate(self._sum(name))
 
     def blame(self, name: str) -> list[dict[str, Any]]:
         """The changes of a stream in order, with who made them."""

@@ -25,6 +25,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, journal: DataFrame | None = None):
         self.spark = spark
         self.journal = journal if journal is not None else spark.createDataFrame([], SCHEMA)
+        self._since = 0  # appends since the journal was written
         self._next = int(self.journal.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0])
 
     def append(self, rows: list[tuple[str, str, str, str, str, str]]) -> None:
@@ -33,9 +34,10 @@ class Workspace:
             return
         new = self.spark.createDataFrame([(self._next + i, *r) for i, r in enumerate(rows)], SCHEMA)
         self._next += len(rows)
+        self._since += 1
         self.journal = self.journal.unionByName(new)
-        if self._next % 64 == 0:
-            self.journal = cut(self.journal)
+        if self._since >= 64:
+            self.journal, self._since = cut(self.journal), 0
 
     def of(self, kind: str) -> DataFrame:
         return self.journal.where(F.col("kind") == kind)
@@ -138,6 +140,10 @@ class Workspace:
         told = self.steps().join(F.broadcast(title), "task")
         return told.where(~((F.col("kind") == "note") & folds.restates(F.col("title"), F.col("subject")))).drop("title").orderBy("seq")
 
+    def step_pages(self) -> DataFrame:
+        """A page per step: how many tries it took, and the task that it is part of."""
+        return folds.step_page(self.steps(), self.agenda().select(F.col("key").alias("task"), "text"))
+
     def finding_page(self, key: str) -> DataFrame:
         """A finding with its severity and the source it is about."""
         return self.findings().where(F.col("key") == key).select("key", "status", "text", F.get_json_object("detail", "$.severity").alias("severity"), F.get_json_object("detail", "$.source").alias("source"))

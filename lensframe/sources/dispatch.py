@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lensframe.sources import binary_formats, text_formats, xml_formats
@@ -98,11 +99,22 @@ def available(spark: SparkSession, roots: list[str], mounted: tuple[str, ...] =
     return spark.createDataFrame(found[:most], "path string, files int")
 
 
-def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """``k, p, o, s, line``: a journal's lines; those without an origin are numbered as local ones."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    j = lines.select(F.from_json("value", "k string, p string, o string, s bigint").alias("j"), "line").select("j.*", "line")
-    return j.where("k is not null")
+def read_journal(spark: SparkSession, path: str, local: str = "local") -> DataFrame:
+    """``k, p, o, s, line``: a journal's lines in order (``line``); those without an origin are ``local`` ones, numbered by their place among such.
+
+    A line that is no event (no JSON, no kind or payload, an origin without a number) is passed over and takes no number. Places are counted by partition of the
+    files as they are read, so no task holds a journal: lines are numbered within it, and partitions by what those before them have.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    j = lines.select(F.from_json("value", "k string, p string, o string, s bigint").alias("j"), "file", "at").select("j.*", "file", "at")
+    kept = j.where("k is not null and p is not null and (o is null or s is not null)").withColumn("part", F.shiftright("at", 33))
+    own = kept.groupBy("part").agg(F.min("file").alias("file"), F.min("at").alias("first"), F.count("*").alias("n"), F.count_if(F.col("o").isNull()).alias("locals"))
+    order = W.orderBy("file", "first").rowsBetween(W.unboundedPreceding, -1)  # a row per partition of the scan
+    ahead = own.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("lines_ahead"), F.coalesce(F.sum("locals").over(order), F.lit(0)).alias("locals_ahead"))
+    within = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    placed = kept.withColumn("line", F.count("*").over(within)).withColumn("local_no", F.count_if(F.col("o").isNull()).over(within)).join(F.broadcast(ahead), "part")
+    seq = F.when(F.col("o").isNull(), F.col("locals_ahead") + F.col("local_no") - 1).otherwise(F.col("s"))
+    return placed.select("k", "p", F.coalesce("o", F.lit(local)).alias("o"), seq.alias("s"), (F.col("lines_ahead") + F.col("line") - 1).alias("line"))
 
 
 def append_journal(events: DataFrame, path: str) -> None:

@@ -22,6 +22,49 @@ def trigger(policy: str) -> dict[str, Any]:
     return {"processingTime": "0 seconds"}
 
 
+class Refresh:
+    """When the views of sources are made again: at once with each change (``live``), when their interval is over (``interval N``), or never (``snapshot``).
+
+    A view depends on sources, each with its own policy. ``change`` and ``tick`` give the views that are due; a view that waits is due at the earliest of its times.
+    """
+
+    def __init__(self) -> None:
+        self.views: dict[str, dict[str, float]] = {}
+        self.last: dict[str, float] = {}
+        self.dirty_at: dict[str, float] = {}
+
+    def watch(self, view: str, policies: dict[str, str], now: float = 0.0) -> None:
+        self.views[view] = {source: _seconds(p) for source, p in policies.items()}
+        self.last[view] = now
+
+    def change(self, source: str, now: float) -> list[str]:
+        due = []
+        for view, every in self.views.items():
+            wait = every.get(source)
+            if wait == 0:
+                due.append(view)
+            elif wait is not None and wait != float("inf"):
+                self.dirty_at[view] = min(self.dirty_at.get(view, float("inf")), self.last[view] + wait)
+        return self._made(due, now)
+
+    def tick(self, now: float) -> list[str]:
+        return self._made([v for v, at in self.dirty_at.items() if now >= at], now)
+
+    def _made(self, due: list[str], now: float) -> list[str]:
+        for v in due:
+            self.last[v] = now
+            self.dirty_at.pop(v, None)
+        return due
+
+
+def _seconds(policy: str) -> float:
+    """How long a policy waits; what is unknown is live."""
+    if policy == "snapshot":
+        return float("inf")
+    digits = "".join(c for c in policy if c.isdigit())
+    return float(digits) if policy.startswith("interval") and digits else 0.0
+
+
 def follow(spark: SparkSession, path: str, schema: T.StructType, form: str = "json") -> DataFrame:
     """The files that are added to a folder, as a stream."""
     return spark.readStream.schema(schema).format(form).load(path)
