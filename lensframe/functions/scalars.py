@@ -120,6 +120,17 @@ def string_hash(c: Column) -> Column:
     return F.lit(900_000) + F.abs(folded) % 100_000
 
 
+#: The entities of markup that have names; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def decode_entities(c: Column) -> Column:
+    """Text with its named entities decoded."""
+    for name, char in ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
 def is_empty(c: Column, kind: T.DataType) -> Column:
     """Null, or an empty text."""
     return c.isNull() | (c == "") if isinstance(kind, T.StringType) else c.isNull()

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,3 +126,19 @@ def cosine_topk_each(queries: DataFrame, store: DataFrame, vec: str, key: str, k
 def not_yet_embedded(docs: DataFrame, store: DataFrame, key: str, source: str = "source") -> DataFrame:
     """Documents that the store has no chunk of."""
     return docs.join(store.select(F.col(source).alias(key)).distinct(), key, "left_anti")
+
+
+STORE = "source string, text string, vec array<float>"
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """``source, text, vec`` of a store of chunks; one that is not there yet is empty."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(STORE).json(path) if there else spark.createDataFrame([], STORE)
+
+
+def append_store(chunks: DataFrame, path: str) -> None:
+    """Adds chunks (``source, text, vec``) of sources that the store has not yet; such without a vector are left out."""
+    new = not_yet_embedded(chunks, read_store(chunks.sparkSession, path), "source")
+    new.where(F.size("vec") > 0).select("source", "text", "vec").write.mode("append").json(path)

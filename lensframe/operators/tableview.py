@@ -29,6 +29,12 @@ def clamp(first: int, count: int, total: int) -> tuple[int, int]:
     return min(max(0, first), max(0, total - count)), count
 
 
+def viewport(df: DataFrame, arrival: str, first: int, count: int) -> DataFrame:
+    """The rows of a table in order of arrival that a viewport shows, within its bounds."""
+    at, size = clamp(first, count, df.count())
+    return df.orderBy(arrival).offset(at).limit(size)
+
+
 def upsert(df: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:
     """``df`` after ordered ``changes`` (its columns, ``seq`` and ``deleted``): by key the last one holds."""
     last = changes.groupBy(key).agg(F.max_by(F.struct(*(c for c in changes.columns if c != key)), seq).alias("x"))

@@ -17,18 +17,26 @@ from lensframe.plans.graph import Graph
 from lensframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
+def registry() -> tuple[dict[str, Query], dict[str, str], Callable[[str | None], Callable[[Query], Query]]]:
+    """Queries and their SQL by name, and the decorator that adds to both."""
+    queries: dict[str, Query] = {}
+    oracles: dict[str, str] = {}
 
-    return add
+    def query(sql: str | None = None) -> Callable[[Query], Query]:
+        def add(fn: Query) -> Query:
+            queries[fn.__name__] = fn
+            if sql:
+                oracles[fn.__name__] = sql
+            return fn
+
+        return add
+
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = registry()
 
 
 def _ms(c: str) -> F.Column:  # type: ignore[name-defined]

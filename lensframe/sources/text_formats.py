@@ -15,7 +15,10 @@ from lensframe.sources.rows import UnreadableFile, parsed_rows, typed
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A CSV or TSV file with a header: quotes, doubled quotes, delimiters and line ends in quotes; short rows are filled up, blank lines passed over."""
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False)
+    # a file is read in one piece only where a quoted field goes over a line's end
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    pieces = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=pieces, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False)
     df = raw.select(*(F.col(f"`{c}`").cast("string").alias(c.strip().rstrip("\r")) for c in raw.columns))
     last = df.columns[-1]
     df = df.withColumn(last, F.regexp_replace(F.col(f"`{last}`"), "\r$", "")).dropna("all")
