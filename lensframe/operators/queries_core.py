@@ -53,6 +53,25 @@ def p3_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.steady_schema(drift.curve_columns(table(spark, sf_dir, "log_curves")))
 
 
+def p3_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one table of all logs: a row per data line and a typed column per curve, steady through all files."""
+    return drift.steady_table(table(spark, sf_dir, "log_curves"), table(spark, sf_dir, "log_data"))
+
+
+def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of each file the steady columns hold, by the file's own name for the column; no cell comes twice under one curve."""
+    rows = drift.unified_rows(table(spark, sf_dir, "log_curves"), table(spark, sf_dir, "log_data"))
+    once = rows.groupBy("file_id", "line_no", "curve").agg(F.count("*").alias("n"), F.first("mnemonic").alias("mnemonic"))
+    return once.groupBy("file_id", "mnemonic").agg(F.sum("n").alias("cells"), F.max("n").alias("most"))
+
+
+def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By file: what was added less what was removed is how many columns it has more than the file before."""
+    found = drift.changes(table(spark, sf_dir, "log_curves"))
+    net = found.groupBy("uidlog", "file_id").agg(F.sum(F.when(F.col("change") == "added", 1).when(F.col("change") == "removed", -1).otherwise(0)).alias("more"))
+    return net.where("more <> 0")
+
+
 def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All data lines of all files under the steady columns of their log."""
     return drift.unified_rows(table(spark, sf_dir, "log_curves"), table(spark, sf_dir, "log_data"))
@@ -77,7 +96,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.periods_and_gaps(spans, "asset_ref", "starttime", "endtime", LONGEST_GAP_MS)
 
 
-QUERIES = {"p1_found": p1_found, "p1_attributes": p1_attributes, "p1_texts": p1_texts, "p3_found": p3_found, "p3_schema": p3_schema, "p3_curves": p3_curves, "p3_rows": p3_rows, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_attributes": p1_attributes, "p1_texts": p1_texts, "p3_found": p3_found, "p3_schema": p3_schema, "p3_curves": p3_curves, "p3_rows": p3_rows, "p3_wide": p3_wide, "p3_cells": p3_cells, "p3_balance": p3_balance, "p5_found": p5_found, "p6_found": p6_found}
 
 _REFERENCES = """m AS (SELECT id, assetids, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT id, assetids, regexp_extract_all(assetids, '"(?:[^"]|"")*"|[0-9]+') AS t FROM (SELECT DISTINCT id, assetids FROM asset_events))),
     e AS (SELECT id, assetids, i, CASE WHEN tok LIKE '"%' AND regexp_matches(regexp_replace(tok, '\\b(and|n/a|N/A|none|null|NULL)\\b', '', 'g'), '[A-Za-z]') THEN [trim(replace(substr(tok, 2, length(tok) - 2), '""', '"'))] ELSE regexp_extract_all(tok, '[0-9]+') END AS v FROM m),
@@ -99,6 +118,11 @@ ORACLES = {
     "p3_schema": """WITH c AS (SELECT DISTINCT uidlog, file_id, upper(trim(mnemonic)) AS mnemonic, lower(trim(typelogdata)) AS k, coalesce(curve_no, 0) AS no FROM log_curves WHERE trim(mnemonic) <> ''),
     b AS (SELECT uidlog, mnemonic, bit_or(CASE k WHEN 'long' THEN 1 WHEN 'double' THEN 2 WHEN 'date time' THEN 4 WHEN 'string' THEN 8 END) AS bits, count(*) AS files FROM c GROUP BY ALL)
     SELECT uidlog, mnemonic, CASE WHEN bits = 1 THEN 'long' WHEN bits IN (2, 3) THEN 'double' WHEN bits = 4 THEN 'date time' ELSE 'string' END AS kind, files FROM b""",
+    "p3_cells": """WITH c AS (SELECT DISTINCT uidlog, file_id, upper(trim(regexp_replace(mnemonic, '\\s+', ' ', 'g'))) AS mnemonic, coalesce(curve_no, 0) AS no FROM log_curves WHERE trim(mnemonic) <> '' AND uidlog IS NOT NULL AND file_id IS NOT NULL),
+    l AS (SELECT DISTINCT file_id, line_no, cells FROM log_data WHERE cells IS NOT NULL), x AS (SELECT file_id, line_no, generate_subscripts(s, 1) AS no FROM (SELECT file_id, line_no, string_split(cells, ',') AS s FROM l))
+    SELECT file_id, mnemonic, count(*) AS cells, 1 AS most FROM x JOIN c USING (file_id, no) GROUP BY ALL""",
+    "p3_balance": """WITH c AS (SELECT uidlog, file_id, min(dtimcreation) AS created, count(DISTINCT upper(trim(regexp_replace(mnemonic, '\\s+', ' ', 'g'))) || '|' || coalesce(curve_no, 0)) AS n FROM log_curves WHERE trim(mnemonic) <> '' AND uidlog IS NOT NULL AND file_id IS NOT NULL GROUP BY ALL)
+    SELECT uidlog, file_id, more FROM (SELECT uidlog, file_id, n - lag(n) OVER (PARTITION BY uidlog ORDER BY created NULLS FIRST, file_id) AS more FROM c) WHERE more <> 0""",
     "p5_found": f"WITH {_REFERENCES} SELECT id AS event_id, CAST(row_number() OVER (PARTITION BY id, assetids ORDER BY i, j) AS INTEGER) AS pos, asset_ref FROM r",
     "p6_found": f"""WITH {_REFERENCES}, s AS (SELECT DISTINCT asset_ref, starttime AS a, endtime AS b FROM asset_events JOIN r USING (id, assetids)
         WHERE starttime > {EARLIEST_MS} AND starttime < {LATEST_MS} AND endtime > {EARLIEST_MS} AND endtime < {LATEST_MS} AND starttime < endtime),
