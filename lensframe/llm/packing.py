@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from lensframe.session import cut
 
-SHARDS = 64
+#: Items of one length that are ranked in one task, about.
+SHARD_ROWS = 50_000
 
 
 def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -91,6 +92,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     split = cut(items.withColumn("full", F.when(F.col("size") > capacity, whole).otherwise(F.lit(0))).withColumn("rest", F.col("size") - F.col("full") * capacity))
     # the histogram: a row per length up to the capacity
     counted = split.where("rest > 0").groupBy("rest").count().collect()
+    shards = max(1, -(-split.count() // SHARD_ROWS))
     patterns = plan({r[0]: r[1] for r in counted}, capacity)
 
     # slots of each length: from which rank on a pattern takes them, how many per container, the pattern's first container
@@ -106,7 +108,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     table = spark.sparkContext.broadcast({x: tuple(np.array(c, np.int64) for c in zip(*rows)) for x, rows in slots.items()})
 
     # the place of each item among those of its length, without a task per length: by shard, then from the shards' counts
-    sharded = split.where("rest > 0").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS)))
+    sharded = split.where("rest > 0").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     per = sharded.groupBy("rest", "shard").count()
     before = per.withColumn("ahead", F.coalesce(F.sum("count").over(W.partitionBy("rest").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = (
@@ -135,7 +137,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         "key", (F.col("full") + 1).alias("piece_no"), (F.col("full") * capacity + 1).alias("tok_from"), (F.col("full") * capacity + F.col("rest")).alias("tok_to"), "container_no", "fill"
     )
     # pieces of long items fill containers of their own, numbered after the rest: by shard again
-    long = split.where("full > 0").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS)))
+    long = split.where("full > 0").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     ahead = long.groupBy("shard").agg(F.sum("full").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("shard", "ahead")
     pieces = (
         long.withColumn("within", F.coalesce(F.sum("full").over(W.partitionBy("shard").orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
