@@ -47,13 +47,16 @@ def promoted(bits: Column) -> Column:
     )
 
 
-def with_previous(files: DataFrame, series: str, at: str, file: str, slice_days: int = 30) -> DataFrame:
+def with_previous(files: DataFrame, series: str, at: str, file: str, slice_days: int = 1, slice_files: int = 4_096) -> DataFrame:
     """``files`` (one row per file) with ``prev_file``: the file before in the same series by (``at``, ``file``), null for its first.
 
     Slices of ``slice_days`` days bound the rows of a task; a series has one row per slice that holds any of its files.
-    A file whose time is null comes before all others.
+    A file whose time is null comes before all others; such are sliced by their numbers, ``slice_files`` at a time, where files have numbers.
     """
-    sliced = files.withColumn("__slice", F.coalesce(F.floor(F.unix_seconds(F.col(at)) / (86_400 * slice_days)), F.lit(-(2**40))))
+    timeless = F.lit(-(2**40))
+    if isinstance(files.schema[file].dataType, T.IntegralType):
+        timeless = timeless - F.lit(2**50) + F.floor(F.col(file) / slice_files)
+    sliced = files.withColumn("__slice", F.coalesce(F.floor(F.unix_seconds(F.col(at)) / (86_400 * slice_days)), timeless))
     order = [F.col(at).asc_nulls_first(), F.col(file).asc()]
     w = W.partitionBy(series, "__slice").orderBy(*order)
     inner = sliced.withColumn("__prev", F.lag(file).over(w))
@@ -179,7 +182,7 @@ def changes(curves: DataFrame) -> DataFrame:
         .select("uidlog", "file_id", "prev_file")
         .join(bare, ["uidlog", "file_id"])
         .join(bare.select("uidlog", F.col("file_id").alias("prev_file"), F.col("cols").alias("prev_cols")), ["uidlog", "prev_file"])
-        .join(series_facts(files), "uidlog")
+        .join(_handy(series_facts(files)), "uidlog")
     )
     # headers that are equal in all that counts need no comparing
     sig = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["uid"], x["name"], x["kind"])))
@@ -193,6 +196,16 @@ def changes(curves: DataFrame) -> DataFrame:
     return _compare(both.drop("loose", "prev_file").join(meant, ["uidlog", "file_id"], "left"))
 
 
+#: Rows of a small table up to which it is handed to all tasks.
+SMALL = 200_000
+
+
+def _handy(df: DataFrame) -> DataFrame:
+    """A table of one row per series, written and counted: handed to all tasks if it is small, so that a long series is not one task's work in a join."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _compare(pairs: DataFrame) -> DataFrame:
     schema = T.StructType([pairs.schema["uidlog"], pairs.schema["file_id"], T.StructField("change", T.StringType()), T.StructField("mnemonic", T.StringType())])
     order = ("uid", "name", "description", "unit", "kind", "position")

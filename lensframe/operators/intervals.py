@@ -29,7 +29,7 @@ def merge_intervals(
     the start of the entity's next period, null for its last. Spans with a null time, or whose start is not
     before their end, are left out; so are rows with a null entity. Repeated rows and extra columns change
     nothing. ``chunk_ms`` only sets the unit of parallel work, never the result: an entity's spans are spread over
-    (latest start - earliest start) / chunk_ms tasks, and its chunk rows are as many at most.
+    (latest start - earliest start) / chunk_ms tasks, and its chunk rows are as many at most. Within a chunk overlapping spans merge where they are read, before the shuffle.
     """
     spans = df.where(F.col(entity).isNotNull() & (F.col(start) < F.col(end))).select(
         F.col(entity).alias("entity"),
@@ -43,7 +43,21 @@ def merge_intervals(
         .select("entity", "chunk", F.unix_millis("w.start").alias("s"), F.unix_millis("w.end").alias("e"))
     )
     # read by three passes below; its session windows and what they come from are computed once
-    return _stitch(cut(local)).select(F.col("entity").alias(entity), "from_ms", "to_ms", "next_ms")
+    return _stitch(_merged_early(local)).select(F.col("entity").alias(entity), "from_ms", "to_ms", "next_ms")
+
+
+#: Spark merges sessions before the shuffle too if this is set: of an entity with any share of the rows only its sessions travel.
+_EARLY = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
+
+
+def _merged_early(local: DataFrame) -> DataFrame:
+    conf = local.sparkSession.conf
+    before = conf.get(_EARLY, "false")
+    conf.set(_EARLY, "true")
+    try:
+        return cut(local)
+    finally:
+        conf.set(_EARLY, before)
 
 
 def _stitch(local: DataFrame) -> DataFrame:

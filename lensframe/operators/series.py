@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lensframe.session import cut
 
-def numbered(df: DataFrame, series: str | None, order: list[str], slices: int = 256) -> DataFrame:
-    """``df`` with ``i`` (from 0) and ``n``: a row's place in its series and the series' length.
 
-    Places are counted in slices of the order's range, so a long series is not one task's work.
+def numbered(df: DataFrame, series: str | None, order: list[str]) -> DataFrame:
+    """``df`` with ``i`` (from 0) and ``n``: a row's place in its series by ``order`` (nulls first), and the series' length.
+
+    Rows are spread by ranges of (series, order) that a sample of them balances, whatever their type, and written; a place is that in its range with
+    what earlier ranges have of the series. So a long series is many tasks' work, and outliers or texts change nothing.
     """
-    keys = [F.col(series)] if series else []
-    first = F.col(order[0]).cast("double") if dict(df.dtypes)[order[0]] not in ("timestamp", "timestamp_ntz", "date") else F.col(order[0]).cast("timestamp").cast("double")
-    keyed = df.withColumn("__o", first)
     names = [series] if series else []
-    bounds = keyed.groupBy(*keys).agg(F.min("__o").alias("__lo"), F.max("__o").alias("__hi"), F.count("*").cast("bigint").alias("n"))
-    cut_ = keyed.join(bounds, names) if names else keyed.crossJoin(F.broadcast(bounds))
-    part = F.coalesce(F.least(F.lit(slices - 1), F.floor((F.col("__o") - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0) * slices)), F.lit(-1)).cast("int")
-    sliced = cut_.withColumn("__part", part)
-    sizes = sliced.groupBy(*names, "__part").agg(F.count("*").alias("__c"))
-    ahead = sizes.withColumn("__ahead", F.coalesce(F.sum("__c").over((W.partitionBy(*names) if names else W.partitionBy()).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    within = F.row_number().over(W.partitionBy(*names, "__part").orderBy(*(F.col(o).asc_nulls_first() for o in order))) - 1
-    return sliced.withColumn("__w", within).join(ahead, [*names, "__part"]).withColumn("i", (F.col("__ahead") + F.col("__w")).cast("bigint")).drop("__o", "__lo", "__hi", "__part", "__w", "__ahead")
+    by = [F.col(c).asc_nulls_first() for c in (*names, *order)]
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__m", 33)).withColumn("__w", F.col("__m").bitwiseAND(F.lit(2**33 - 1)))
+    sizes = placed.groupBy(*names, "__part").agg(F.min("__w").alias("__first"), F.count("*").alias("__c"))
+    whole = W.partitionBy(*names)  # a row per series and range
+    sizes = sizes.withColumn("__ahead", F.coalesce(F.sum("__c").over(whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("__c").over(whole)).drop("__c")
+    same = F.col("a.__part") == F.col("b.__part")
+    if series:
+        same = same & F.col(f"a.{series}").eqNullSafe(F.col(f"b.{series}"))
+    joined = placed.alias("a").join(sizes.alias("b"), same)
+    return joined.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("b.__ahead") + F.col("a.__w") - F.col("b.__first")).cast("bigint").alias("i"), F.col("b.n"))
 
 
 def downsample(df: DataFrame, series: str, ts: str, value: str, target: int, tie: str | None = None) -> DataFrame:

@@ -192,17 +192,15 @@ def lens_join_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier)
-    SELECT a.s_suppkey AS lkey, a.s_nationkey AS nat, b.s_suppkey AS rkey, CAST(count(*) AS BIGINT) AS _w FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey
-    WHERE a.s_acctbal >= 5000 OR b.s_acctbal >= 5000 GROUP BY ALL"""
+"SELECT c_custkey AS k, c_nationkey AS nat, c_name AS name, CAST(count(*) AS BIGINT) AS _w FROM customer WHERE c_acctbal >= 5000 GROUP BY ALL"
 )
 def lens_join_diamond(spark: SparkSession, d: str) -> DataFrame:
     """Both inputs change at once: what both changed must not count twice."""
-    s = table(spark, d, "supplier")
-    left = zset.from_rows(s.select(F.col("s_suppkey").alias("lkey"), F.col("s_nationkey").alias("nat"), "s_acctbal"))
-    right = left.withColumnRenamed("lkey", "rkey")
-    lens = Join("nat", "nat", ["lkey"], ["rkey"])
-    rich = F.col("s_acctbal") >= 5000
+    c = table(spark, d, "customer")
+    left = zset.from_rows(c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nat"), "c_acctbal"))
+    right = zset.from_rows(c.select(F.col("c_custkey").alias("rk"), F.col("c_name").alias("name"), "c_acctbal"))
+    lens = Join("k", "rk", ["nat"], ["name"])
+    rich = F.col("c_acctbal") >= 5000
     return lens.delta([left.where(rich), right.where(rich)], [left, right])
 
 
@@ -908,19 +906,24 @@ def lens_chain(spark: SparkSession, d: str) -> DataFrame:
     return out.df
 
 
-@query("SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_totalprice BETWEEN s_acctbal * 20 AND s_acctbal * 20 + 500")
+@query("SELECT o_orderkey, count(*) AS suppliers, min(s_suppkey) AS first FROM orders JOIN supplier ON o_totalprice BETWEEN s_acctbal * 20 AND s_acctbal * 20 + 500 GROUP BY 1")
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
-    """Orders in each supplier's interval of price."""
+    """In how many suppliers' intervals of price each order is, and the first of them."""
     s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") * 20).alias("lo"), (F.col("s_acctbal") * 20 + 500).alias("hi"))
-    return joins.interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), s, "o_totalprice", "lo", "hi", 500.0).select("o_orderkey", "s_suppkey")
+    met = joins.interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), s, "o_totalprice", "lo", "hi", 500.0)
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("suppliers"), F.min("s_suppkey").alias("first"))
 
 
-@query("SELECT DISTINCT l.uidlog, s.scan_id FROM log_curves l JOIN scanned_docs s ON trim(regexp_replace(upper(l.namewell), '^NO\\s+', '')) = regexp_extract(s.name, '([0-9]+_[0-9]+-[A-Z]-[0-9]+)-[0-9]{5}', 1).replace('_', '/')")
+@query(
+    """WITH w AS (SELECT regexp_extract(name, '([0-9]+_[0-9]+-[A-Z]-[0-9]+)-[0-9]{5}', 1).replace('_', '/') AS well, count(DISTINCT scan_id) AS documents FROM scanned_docs GROUP BY 1),
+    l AS (SELECT DISTINCT uidlog, trim(regexp_replace(upper(namewell), '^NO\\s+', '')) AS well FROM log_curves) SELECT uidlog, CAST(sum(documents) AS BIGINT) AS documents FROM l JOIN w USING (well) GROUP BY 1"""
+)
 def normalized_join(spark: SparkSession, d: str) -> DataFrame:
-    """Logs and scanned documents of the same well, however its name is written."""
-    logs = table(spark, d, "log_curves").select("uidlog", "namewell").distinct()
-    docs = table(spark, d, "scanned_docs").select("scan_id", F.regexp_replace(F.regexp_extract("name", r"([0-9]+_[0-9]+-[A-Z]-[0-9]+)-[0-9]{5}", 1), "_", " / ").alias("well")).distinct()
-    return joins.normalized_join(logs, docs, "namewell", "well").select("uidlog", "scan_id").distinct()
+    """How many scanned documents there are of each log's well, however its name is written."""
+    logs = table(spark, d, "log_curves").select("uidlog", scalars.normalize_well(F.col("namewell")).alias("namewell")).distinct()
+    docs = table(spark, d, "scanned_docs").select("scan_id", F.regexp_replace(F.regexp_extract("name", r"([0-9]+_[0-9]+-[A-Z]-[0-9]+)-[0-9]{5}", 1), "_", " / ").alias("well"))
+    per_well = docs.groupBy("well").agg(F.countDistinct("scan_id").alias("documents"))
+    return joins.normalized_join(logs, per_well, "namewell", "well").groupBy("uidlog").agg(F.sum("documents").alias("documents"))
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensframe.functions.scalars import infer_types
+from lensframe.session import cut
 
 Parser = Callable[[bytes, str], Iterator[dict]]
 
@@ -53,6 +54,7 @@ def _text(v: object) -> str | None:
 
 def typed(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The JSON rows as columns, in the order in which they appear, each of the type that all its cells have. No rows is an error."""
+    rows = cut(rows)  # files are parsed once; columns, types and cells are read from what is written
     keys = rows.select("file", "row_no", F.posexplode(F.json_object_keys("row")).alias("i", "key")).groupBy("key").agg(F.min(F.struct("file", "row_no", "i")).alias("first"))
     order = [r["key"] for r in keys.orderBy("first").select("key").collect()]  # a row per column
     if not order:
