@@ -25,6 +25,10 @@ class NotInvertible(ValueError):
 class Lens:
     arity = 1
     backward_kind = "k4"
+    #: Whether a change's output is made row by row, so that nothing is gained by writing it; and whether it always has as many rows.
+    rowwise, same_size = False, False
+    #: Whether a change is made with the output before, and whether all inputs must have rows for the output to have any.
+    uses_own, needs_all = False, False
 
     def forward(self, *states: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -49,10 +53,18 @@ class Calibrate(Lens):
     field: str
     offset: float
     backward_kind = "k1"
+    rowwise = same_size = True
 
-    def _shift(self, z: DataFrame, by: float) -> DataFrame:
+    def _moved(self, z: DataFrame, by: float) -> DataFrame:
         base = F.coalesce(zset.get(z, self.field, F.lit(0.0)), F.lit(0.0))
-        return zset.consolidate(z.withColumn(self.field, base + F.lit(by)))
+        return z.withColumn(self.field, base + F.lit(by))
+
+    def _shift(self, z: DataFrame, by: float) -> DataFrame:
+        return zset.consolidate(self._moved(z, by))
+
+    def delta(self, deltas: Sequence[DataFrame | None], states: Sequence[DataFrame], own: DataFrame | None = None) -> DataFrame:
+        """Row by row; only a null and a 0 become equal, and their weights add up where the change is summed."""
+        return self._moved(deltas[0], self.offset)
 
     def forward(self, *states: DataFrame) -> DataFrame:
         return self._shift(states[0], self.offset)
@@ -67,6 +79,7 @@ class Filter(Lens):
 
     predicate: Column
     backward_kind = "k1"
+    rowwise = True
 
     def forward(self, *states: DataFrame) -> DataFrame:
         return states[0].where(self.predicate)
@@ -106,6 +119,7 @@ class Join(Lens):
     prefix: str = ""
     arity = 2
     backward_kind = "k3"
+    needs_all = True
 
     def forward(self, *states: DataFrame) -> DataFrame:
         a, b = states
@@ -168,6 +182,7 @@ class TopK(Lens):
     k: int
     descending: bool = True
     tie: Sequence[str] = ()
+    uses_own = True
 
     def forward(self, *states: DataFrame) -> DataFrame:
         by = F.coalesce(F.col(f"`{self.field}`"), F.lit(0))

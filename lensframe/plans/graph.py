@@ -45,6 +45,7 @@ class Graph:
         self._expected: dict[str, int] = {}
         #: How often each node was computed by a change, and which of them gave a change: what incremental work is measured by.
         self.computed: dict[str, int] = {}
+        self._written: set[str] = set()  # nodes whose base has rows
 
     def source(self, name: str, empty: DataFrame, external: bool = False) -> str:
         """A source with its schema (``empty`` has no rows); an external one belongs to an adapter."""
@@ -91,31 +92,41 @@ class Graph:
             self._expected[key] -= 1
             return []
         delta = cut(zset.consolidate(delta))
-        if delta.isEmpty():
+        size = self._size(delta)
+        if not size:
             return []
         self.revision += 1
         self.log.append({"seq": len(self.log), "revision": self.revision, "stream": name, "author": author, "origin": origin, "note": note, "delta": delta})
-        changed = {name: self._handy(delta)}
+        changed, sizes = {name: self._handy(delta, size)}, {name: size}
         self._grow(name, delta)
         for n in self.nodes.values():
             if n.lens is None or not any(i in changed for i in n.inputs):
                 continue
+            if n.lens.needs_all and not all(self._since[i] or i in self._written for i in n.inputs):
+                continue
             deltas = [changed.get(i) for i in n.inputs]
             kept = n.lens.memory(deltas[0]) if deltas[0] is not None else None
             if kept is not None:
                 self._hold(self._memory(n.name), cut(kept))
             states = [self._sum(self._memory(n.name))] if kept is not None else [self._sum(i) for i in n.inputs]
             self.computed[n.name] = self.computed.get(n.name, 0) + 1
-            out = cut(n.lens.delta(deltas, states, self.state_of(n.name)))  # lenses give consolidated changes
-            if out.isEmpty():
+            # what is made row by row stays a short plan over a written change; all else is written
+            out = n.lens.delta(deltas, states, self.state_of(n.name) if n.lens.uses_own else None)
+            out = out if n.lens.rowwise else cut(out)
+            size = sizes[n.inputs[0]] if n.lens.same_size else self._size(out)
+            if not size:
                 continue
-            changed[n.name] = self._handy(out)
+            changed[n.name], sizes[n.name] = self._handy(out, size), size
             self._grow(n.name, out)
         return list(changed)
 
-    def _handy(self, delta: DataFrame) -> DataFrame:
-        """A change, marked for broadcast if it is small; it is written, so it is counted without being made again."""
-        return F.broadcast(delta) if delta.limit(self.SMALL + 1).count() <= self.SMALL else delta
+    def _size(self, delta: DataFrame) -> int:
+        """The number of rows of a written change, or more than SMALL."""
+        return delta.limit(self.SMALL + 1).count()
+
+    def _handy(self, delta: DataFrame, size: int) -> DataFrame:
+        """A change, marked for broadcast if it is small."""
+        return F.broadcast(delta) if size <= self.SMALL else delta
 
     def _start(self, name: str, like: DataFrame) -> None:
         self._base[name] = like.sparkSession.createDataFrame([], like.schema)
@@ -129,6 +140,7 @@ class Graph:
         self._since[name].append(delta.select(*self._base[name].columns))
         if len(self._since[name]) >= self.COMPACT:
             self._base[name], self._since[name] = cut(self.state_of(name)), []
+            self._written.add(name)
 
     def _sum(self, name: str) -> DataFrame:
         """A state as the sum of its changes, not consolidated."""
