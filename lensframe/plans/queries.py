@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensframe.functions import scalars
-from lensframe.operators import cdc, detect, entity, folds, joins, layers, profile, semantic, series, tableview, views, zset
+from lensframe.operators import cdc, entity, folds, joins, layers, profile, semantic, series, tableview, views, zset
 from lensframe.operators.lenses import Calibrate, Count, Filter, Join, Map, TopK
 from lensframe.operators.zset import WEIGHT
 from lensframe.plans.catalog import Catalog
@@ -274,7 +274,7 @@ def graph_step(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d).state_of("per_asset")
 
 
-@query("SELECT * FROM (VALUES (1, 'feed', 'status F'), (2, 'feed', 'status O'), (3, 'feed', 'status P'), (4, 'feed', 'taken back')) t(seq, author, note) WHERE (SELECT count(*) FROM orders) > 0")
+@query("WITH s AS (SELECT CAST(row_number() OVER (ORDER BY o_orderstatus) AS INTEGER) AS seq, 'feed' AS author, 'status ' || o_orderstatus AS note FROM (SELECT DISTINCT o_orderstatus FROM orders)) SELECT * FROM s UNION ALL SELECT max(seq) + 1, 'feed', 'taken back' FROM s WHERE 'status P' IN (SELECT note FROM s) HAVING count(*) > 0")
 def graph_blame(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(e["seq"], e["author"], e["note"]) for e in _graph(spark, d).blame("readings")], "seq int, author string, note string")
 
@@ -443,12 +443,12 @@ def claim_fold(spark: SparkSession, d: str) -> DataFrame:
     return profile.fold_claims(claimed)
 
 
-@query("SELECT 'customer' AS source, f AS field FROM (VALUES ('c_acctbal'), ('c_custkey'), ('c_mktsegment'), ('c_nationkey')) t(f) WHERE (SELECT count(*) FROM customer) > 0 UNION ALL SELECT 'nation', f FROM (VALUES ('n_nationkey'), ('n_regionkey')) t(f)")
+@query("SELECT DISTINCT table_name AS source, column_name AS field FROM duckdb_columns() WHERE table_name = 'customer' AND column_name <> 'c_name' OR table_name = 'nation' AND column_name <> 'n_name'")
 def schema_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Columns without a title after two were given one."""
     cat = Catalog(spark)
-    cat.register("customer", table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
-    cat.register("nation", table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    cat.register("customer", table(spark, d, "customer"))
+    cat.register("nation", table(spark, d, "nation"))
     cat.annotate("customer", "C NAME", title="Customer")
     cat.annotate("nation", "n_name", title="Nation")
     return cat.gaps()
@@ -926,21 +926,15 @@ def normalized_join(spark: SparkSession, d: str) -> DataFrame:
     return joins.normalized_join(logs, per_well, "namewell", "well").groupBy("uidlog").agg(F.sum("documents").alias("documents"))
 
 
-@query()
-def shape_detect(spark: SparkSession, d: str) -> DataFrame:
-    """What the detectors find in the asset events."""
-    return detect.shape_report(table(spark, d, "asset_events"))
-
-
 @query(
-    """WITH d AS (SELECT DISTINCT type AS kind, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS source, subtype AS name FROM asset_events WHERE type IS NOT NULL AND description IS NOT NULL)
+    """WITH d AS (SELECT DISTINCT coalesce(type, '') AS kind, trim(regexp_replace(coalesce(description, ''), '\\s+', ' ', 'g')) AS source, subtype AS name FROM asset_events)
     SELECT kind, source, coalesce(array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE name IS NOT NULL)), ', '), '') AS names FROM d GROUP BY ALL"""
 )
 def definition_registry(spark: SparkSession, d: str) -> DataFrame:
     """Texts by content: equal ones are one definition, under all its names."""
     from lensframe.plans.catalog import definitions
 
-    rows = table(spark, d, "asset_events").where("type is not null and description is not null").select(F.col("type").alias("kind"), F.col("description").alias("source"), F.lit(None).cast("string").alias("deps"), F.col("subtype").alias("name"))
+    rows = table(spark, d, "asset_events").select(F.coalesce("type", F.lit("")).alias("kind"), F.coalesce("description", F.lit("")).alias("source"), F.lit(None).cast("string").alias("deps"), F.col("subtype").alias("name"))
     return definitions(rows).select("kind", "source", F.array_join("names", ", ").alias("names"))
 
 
@@ -956,17 +950,17 @@ def scalar_formats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT DISTINCT id, CASE WHEN starttime > 946684800000 AND starttime < 4102444800000 THEN starttime END AS ms, CASE WHEN starttime IS NULL OR starttime = 0 THEN '' ELSE strftime(make_timestamp(starttime * 1000), '%Y-%m-%d') END AS day
-    FROM asset_events WHERE starttime IS NULL OR starttime BETWEEN 0 AND 4102444800000"""
+    FROM asset_events"""
 )
 def scalar_when(spark: SparkSession, d: str) -> DataFrame:
     """Which numbers are times, and their dates."""
     from pyspark.sql import types as T
 
-    e = table(spark, d, "asset_events").where("starttime is null or starttime between 0 and 4102444800000")
+    e = table(spark, d, "asset_events")
     return e.select("id", F.unix_millis(scalars.as_when(F.col("starttime"), T.LongType())).alias("ms"), scalars.fmt_date(F.col("starttime")).alias("day")).distinct()
 
 
-@query("SELECT 'customer' AS source, 5 AS gaps WHERE (SELECT count(*) FROM customer) > 0 UNION ALL SELECT 'nation', 3 UNION ALL SELECT 'region', 2")
+@query("SELECT table_name AS source, CAST(count(DISTINCT column_name) AS INTEGER) AS gaps FROM duckdb_columns() WHERE table_name IN ('customer', 'nation', 'region') GROUP BY 1")
 def gap_backlog(spark: SparkSession, d: str) -> DataFrame:
     """Untitled columns per source, the most first."""
     columns = spark.createDataFrame([(n, c) for n in ("customer", "nation", "region") for c in table(spark, d, n).columns], "source string, field string")

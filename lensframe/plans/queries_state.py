@@ -164,6 +164,14 @@ def _detectors(name: str) -> None:
 for _name in _DETECTED:
     _detectors(_name)
 
+_EVENT_COLUMNS = [("id", "number"), ("type", "string"), ("subtype", "string"), ("starttime", "number"), ("endtime", "number"), ("description", "string"), ("assetids", "string"), ("received_at", "time")]
+
+
+@query(_shapes_sql("SELECT * FROM asset_events", _EVENT_COLUMNS))
+def shape_detect(spark: SparkSession, d: str) -> DataFrame:
+    """What the detectors find in the asset events."""
+    return detect.shape_report(table(spark, d, "asset_events"))
+
 
 # ------------------------------------------------------------------------------------------------ profiles
 
