@@ -333,14 +333,14 @@ def steady_schema(columns: DataFrame) -> DataFrame:
     )
 
 
-def unified_rows(curves: DataFrame, lines: DataFrame) -> DataFrame:
+def unified_rows(curves: DataFrame, lines: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """The data lines of all files under the steady schema: ``uidlog, file_id, line_no, curve, mnemonic, kind, as_long, as_double, as_time, as_text``.
 
     ``curve`` is the same in all files of a series, ``mnemonic`` is the file's name for it. The values are cast to the curve's promoted type: long fills ``as_long``
     (exactly) and ``as_double``, double ``as_double``, date time ``as_time``, and string ``as_text``. A reading marked as absent, blank, or not of the type gives no value (a row with nulls). Cells
-    beyond the header are left out. Repeated lines count once.
+    beyond the header are left out. Repeated lines count once. ``columns`` is ``curve_columns`` of the same curves, if it is there already.
     """
-    columns = cut(curve_columns(curves))
+    columns = cut(curve_columns(curves)) if columns is None else columns
     names = columns.drop("type").join(steady_schema(columns).select("uidlog", "curve", "kind"), ["uidlog", "curve"])
     cells = lines.where(F.col("cells").isNotNull()).select("file_id", "line_no", "cells").dropDuplicates().select("file_id", "line_no", F.posexplode(F.split("cells", ",")).alias("p", "cell"))
     joined = cells.withColumn("cell_no", F.col("p") + 1).join(names, ["file_id", "cell_no"])
@@ -359,15 +359,18 @@ def unified_rows(curves: DataFrame, lines: DataFrame) -> DataFrame:
 def wide(rows: DataFrame, columns: Iterable[tuple[str, str]]) -> DataFrame:
     """``unified_rows`` with one typed column per (curve, kind) of ``columns``, in their order: the steady table of one or several series."""
     field = {"long": "as_long", "double": "as_double", "date time": "as_time", "string": "coalesce(as_text, cast(as_long as string), cast(as_double as string), cast(as_time as string))"}
-    return rows.groupBy("uidlog", "file_id", "line_no").agg(*(F.max(F.when(F.col("curve") == n, F.expr(field[k]))).alias(n.lower()) for n, k in columns))
+    keys = ("uidlog", "file_id", "line_no")
+    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("curve") == n, F.expr(field[k]))).alias(f"curve_{n.lower()}" if n.lower() in keys else n.lower()) for n, k in columns))
 
 
 def steady_table(curves: DataFrame, lines: DataFrame) -> DataFrame:
     """The one table of all series: ``uidlog, file_id, line_no`` and a typed column per curve name, the same in all files.
 
-    A column's type is what the types of all curves of that name promote to, over all series; its name is in lower case. One row per name is collected.
+    A column's type is what the types of all curves of that name promote to, over all series; its name is in lower case. One row per name is collected. A curve
+    without a reading has its column too; with no curves at all only the keys are left.
     """
-    rows = cut(unified_rows(curves, lines))
+    columns = cut(curve_columns(curves))
     bits = F.bit_or(type_bits(F.col("kind")))
-    columns = [(r["curve"], r["kind"]) for r in rows.groupBy("curve").agg(promoted(bits).alias("kind")).orderBy("curve").collect()]
-    return wide(rows.withColumn("as_double", F.coalesce("as_double", F.col("as_long").cast("double"))), columns)
+    names = [(r["curve"], r["kind"]) for r in steady_schema(columns).groupBy("curve").agg(promoted(bits).alias("kind")).orderBy("curve").collect()]
+    rows = unified_rows(curves, lines, columns)
+    return wide(rows, names) if names else rows.select("uidlog", "file_id", "line_no").limit(0)
