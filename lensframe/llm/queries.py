@@ -86,12 +86,14 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source with documents: how many are used more often than may be or come twice, and whether its tokens are within its largest document of the target among what is present."""
+    """Per source with documents: how many are used more often than may be or come twice, and whether its tokens are as near to the target among what is present as whole documents allow: within its own largest document and the largest of all."""
     targets = _table(spark, sf_dir, "mix_targets")
-    used = cut(p8_mix(spark, sf_dir))
-    over = used.join(F.broadcast(targets), "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("too_often"), (F.count("*") - F.countDistinct("doc_id")).alias("twice"), F.sum(F.col("copies") * F.col("tokens")).alias("t"), F.first("target_share").alias("target"), F.max("tokens").alias("largest"))
-    all_ = over.agg(F.sum("t").alias("all_t"), F.sum("target").alias("all_target"))
-    return over.crossJoin(F.broadcast(all_)).select("source", "too_often", "twice", (F.abs(F.col("t") - F.col("all_t") * F.col("target") / F.col("all_target")) <= F.col("largest")).alias("near"))
+    sizes = _sizes(spark, sf_dir, "source")
+    used = cut(mixing.mix(sizes, "doc_id", "source", "tokens", targets))
+    largest = sizes.groupBy("source").agg(F.max("tokens").alias("largest"))
+    over = used.join(F.broadcast(targets), "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("too_often"), (F.count("*") - F.countDistinct("doc_id")).alias("twice"), F.sum(F.col("copies") * F.col("tokens")).alias("t"), F.first("target_share").alias("target")).join(largest, "source")
+    all_ = over.agg(F.sum("t").alias("all_t"), F.sum("target").alias("all_target"), F.max("largest").alias("any"))
+    return over.crossJoin(F.broadcast(all_)).select("source", "too_often", "twice", (F.abs(F.col("t") - F.col("all_t") * F.col("target") / F.col("all_target")) <= F.col("largest") + F.col("any")).alias("near"))
 
 
 #: White space of all scripts, as both engines write it.
